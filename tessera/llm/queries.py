@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, lm, packing, pii, quality, topk
 from ._util import read_table
 
 
@@ -14,6 +15,14 @@ def _tokenizer(name: str) -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read_table(spark, sf_dir, "documents"))
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), *_tokenizer("byte_bpe_50k.json"))
 
@@ -22,5 +31,41 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read_table(spark, sf_dir, "documents"), *_tokenizer("byte_bpe_multi_50k.tiktoken"), emit=bpe.digest, schema=bpe.DIGEST)
 
 
-QUERIES = {"op4_pack": op4_pack, "op6_bpe": op6_bpe}
-ORACLES: dict[str, str] = {}
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantize(read_table(spark, sf_dir, "embeddings"))
+    return topk.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read_table(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 3))
+
+
+QUERIES = {"op1_quality": op1_quality, "op3_pii": op3_pii, "op4_pack": op4_pack, "op6_bpe": op6_bpe, "op8_topk": op8_topk, "op10_lm": op10_lm}
+
+#: SQL for the operators that it can express.
+ORACLES = {
+    "op8_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+        ), r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op10_lm": """
+        WITH w AS (
+            SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS w
+            FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS s FROM documents)
+        ), p AS (
+            SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM w
+        ), one AS (SELECT w, count(*) AS n FROM w GROUP BY w), two AS (SELECT c, w, count(*) AS n FROM p WHERE c IS NOT NULL GROUP BY c, w), total AS (SELECT count(*) AS n FROM w),
+        s AS (
+            SELECT p.doc_id, CASE WHEN p.c IS NULL THEN ln(own.n / total.n) ELSE ln(two.n / context.n) END AS score
+            FROM p JOIN one own ON own.w = p.w LEFT JOIN two ON two.c = p.c AND two.w = p.w LEFT JOIN one context ON context.w = p.c CROSS JOIN total
+        ), t AS (SELECT doc_id, count(*) AS n, sum(score) AS score FROM s GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(t.n, 0) AS n_words, round(coalesce(t.score, 0), 3) AS log_score FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id""",
+}
