@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lm, packing, pii, quality, topk
+from . import bpe, line_dedup, lm, ngram_join, packing, pii, quality, spotsigs, topk, warc
 from ._util import read_table
 
 
@@ -19,6 +19,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derive(warc.responses(read_table(spark, sf_dir, "pages")))
+    named = {"refers_to": "WARC-Refers-To", "refers_to_target_uri": "WARC-Refers-To-Target-URI", "refers_to_date": "WARC-Refers-To-Date", "block_digest": "WARC-Block-Digest", "content_type": "Content-Type", "content_length": "Content-Length"}
+    return made.select("record_id", "type", "target_uri", "date", *[F.col("headers")[h].alias(c) for c, h in named.items()], F.decode("block", "UTF-8").alias("block"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read_table(spark, sf_dir, "documents"))
 
@@ -27,20 +33,32 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), *_tokenizer("byte_bpe_50k.json"))
 
 
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited(read_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read_table(spark, sf_dir, "documents"), *_tokenizer("byte_bpe_multi_50k.tiktoken"), emit=bpe.digest, schema=bpe.DIGEST)
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.decisions(read_table(spark, sf_dir, "documents"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantize(read_table(spark, sf_dir, "embeddings"))
     return topk.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read_table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(read_table(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 3))
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_pii": op3_pii, "op4_pack": op4_pack, "op6_bpe": op6_bpe, "op8_topk": op8_topk, "op10_lm": op10_lm}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_pii, op4_pack, op5_spotsigs, op6_bpe, op7_lines, op8_topk, op9_ngram_join, op10_lm)}
 
 #: SQL for the operators that it can express.
 ORACLES = {
@@ -56,6 +74,18 @@ ORACLES = {
             SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op9_ngram_join": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) END) AS s FROM w
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+        SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id
+        FROM documents d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
     "op10_lm": """
         WITH w AS (
             SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS w
