@@ -34,7 +34,7 @@ class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return value
@@ -123,7 +123,7 @@ def _open(payload: bytes, order: int):
     return ids, *grams(texts, order)
 
 
-def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = 2, backoff: float = 0.4, part_chars: int = 16_000_000, bucket_words: int = 1_000_000) -> DataFrame:
+def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = 2, backoff: float = 0.4, part_chars: int = 4_000_000, bucket_words: int = 1_000_000) -> DataFrame:
     """Stupid-backoff scores of every whole text of ``docs`` by the counts of every text of ``corpus`` (``docs`` by default).
 
     A word's score is count(n-gram) / count(its context) for the longest n <= ``order`` whose n-gram has a count, times
