@@ -64,7 +64,7 @@ class Engine:
         """Refuses plans whose estimate is over the cap; warns of products of unrelated rows."""
         plan = df._jdf.queryExecution()
         if self.limits.plan_bytes is not None:
-            size = int(plan.optimizedPlan().stats().sizeInBytes().toString())
+            size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
             if size > self.limits.plan_bytes:
                 raise Refusal(f"the plan is estimated at {size} bytes")
         text = plan.executedPlan().toString()
