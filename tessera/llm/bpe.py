@@ -203,7 +203,7 @@ def encode(docs: DataFrame, path: str, pattern: str, window: int = 65_536, overl
 
         for (doc, _), group in groupby(windows(), key=lambda x: x[0]):
             # "then encode the pieces": every piece ends at a true boundary, each pre-token in it is encoded by itself
-            ids = b"".join(b"".join(coder.encode_many([t[a:b] for a, b in zip(s, [*s[1:], len(t)], strict=True)])) for t, s in stitch((w for _, w in group), compiled))
+            ids = b"".join(b"".join(coder.encode_many([t[a:b] for a, b in zip(s, [*s[1:], len(t)], strict=True)])) for t, s in stitch((w for _, w in group), compiled) if s)
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in emit([doc], [ids], coder)], names=names)
 
     whole = scanned.repartition("row").sortWithinPartitions("row", "offset").mapInArrow(join, schema)
