@@ -30,6 +30,24 @@ def connected(edges: DataFrame, name: str = "component") -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
+def stars(lists: DataFrame, admissible) -> DataFrame:
+    """Pairs (a, b) of every item with the heaviest one of each list that it is in, where they are admissible."""
+    heads = lists.groupBy("key").agg(F.max_by("id", F.struct("weight", "id")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "head")
+    # the head's own row carries what admissible() asks of it
+    of_heads = lists.join(heads, "key").filter("id = head").drop("head").dropDuplicates(["key"])
+    met = lists.alias("l").join(of_heads.alias("r"), "key").filter(F.col("l.id") != F.col("r.id"))
+    return pairs(met, admissible)
+
+
+def across(lists: DataFrame, component: DataFrame, admissible, name: str) -> DataFrame:
+    """Admissible pairs (a, b) that share a list and lie in different components; lists within one component are dropped."""
+    labelled = lists.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    rest = materialize(labelled.join(mixed, "key"), f"{name}-rest")
+    met = rest.alias("l").join(rest.alias("r"), "key").filter(F.col("l.component") < F.col("r.component"))
+    return pairs(met, admissible)
+
+
 def linked(lists: DataFrame, admissible: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
     """Components (id, component) of the links among items that share a key; items without a link do not appear.
 
@@ -38,22 +56,14 @@ def linked(lists: DataFrame, admissible: Callable[[str, str], Column], verify: C
 
     All pairs of a list are never made. First each item meets only its list's heaviest one (in a group of near copies,
     often the text that the others were copied from). What that joins is one component, and inside a component no further
-    pair can matter; then only pairs across components are left, and lists that lie within one component are dropped.
+    pair can matter; then only pairs across components are left.
     """
-    heads = lists.groupBy("key").agg(F.max_by("id", F.struct("weight", "id")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "head")
-    # the head's own row carries what admissible() asks of it
-    of_heads = lists.alias("l").join(heads, "key").filter("id = head").drop("head", "n").dropDuplicates(["key"])
-    stars = lists.alias("l").join(of_heads.alias("r"), "key").filter(F.col("l.id") != F.col("r.id")).filter(admissible("l", "r"))
-    first = materialize(verify(_ordered(stars)), f"{name}-stars")
+    first = materialize(verify(stars(lists, admissible)), f"{name}-stars")
     component = materialize(connected(first, f"{name}-component"), f"{name}-components")
-
-    labelled = lists.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    rest = materialize(labelled.join(mixed, "key"), f"{name}-rest")
-    across = rest.alias("l").join(rest.alias("r"), "key").filter(F.col("l.component") < F.col("r.component")).filter(admissible("l", "r"))
-    second = materialize(verify(_ordered(across)), f"{name}-across")
+    second = materialize(verify(across(lists, component, admissible, name)), f"{name}-across")
     return connected(first.unionByName(second), f"{name}-component")
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
+def pairs(met: DataFrame, admissible) -> DataFrame:
+    """Distinct admissible pairs (a, b) among rows l and r that met, each with the smaller id first."""
+    return met.filter(admissible("l", "r")).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()

@@ -11,7 +11,6 @@ documents) is enough to tell common n-grams from rare ones.
 
 from __future__ import annotations
 
-from functools import cache
 from math import ceil
 
 import numpy as np
@@ -24,19 +23,7 @@ from .links import linked
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 CELL_BITS = 22
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_HASHES = _Hashes()
+SLICE_CHARS = 500_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -45,20 +32,60 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str, n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams of a text; with fewer words, of the whole sequence; none without.
+_random = np.random.default_rng(20)
+#: A random 64-bit value for each byte; A-Z have those of a-z.
+_BYTES = _random.integers(0, 1 << 64, 256, dtype=np.uint64)
+_BYTES[65:91] = _BYTES[97:123]
+_BASE = int(_random.integers(0, 1 << 63)) * 2 + 1
+_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64)] * 2  # of the base, and of its inverse modulo 2**64
+
 
-    Words are runs without ASCII white space, A-Z lower-cased.
+def _power(size: int) -> list[np.ndarray]:
+    if len(_powers[0]) < size:
+        size = max(size, 1 << 20)
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, base, dtype=np.uint64)
+            steps[0] = 1
+            _powers[k] = np.cumprod(steps, dtype=np.uint64)
+    return _powers
+
+
+def shingles(texts: list[str], n: int) -> list[np.ndarray]:
+    """Of every text: sorted distinct 64-bit hashes of its word n-grams; with fewer words, of the whole sequence; none without.
+
+    Words are runs without ASCII white space, A-Z lower-cased. All words of all texts are hashed at once, as differences of
+    one running polynomial over the bytes.
     """
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: exactly A-Z, and \x09-\x0D with the space
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    hashes = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
-    width = min(n, len(words))
-    total = hashes[: len(words) - width + 1].copy()
-    for k in range(1, width):
-        total = _mix(total * _MIX + hashes[k : len(words) - width + 1 + k])
-    return np.unique(_mix(total + np.uint64(width)))
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
+    begin = np.cumsum([0, *(len(r) + 1 for r in raw)])[:-1]
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    edges = edges if space[0] else np.concatenate([[0], edges])
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _power(len(data))
+    running = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[data] * up[: len(data)], out=running[1:])
+    words = _mix((running[ends] - running[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MIX)
+    of = np.searchsorted(begin, starts, side="right") - 1
+    counts = np.bincount(of, minlength=len(texts))
+    total = words[: max(0, len(words) - n + 1)].copy()
+    for k in range(1, n):
+        total = _mix(total * _MIX + words[k : len(total) + k])
+    total = _mix(total + np.uint64(n))
+    first = np.cumsum(counts) - counts
+    out = []
+    for at, m in zip(first.tolist(), counts.tolist(), strict=True):
+        if m >= n:
+            out.append(np.unique(total[at : at + m - n + 1]))
+        elif not m:
+            out.append(np.zeros(0, dtype=np.uint64))
+        else:
+            whole = words[at : at + 1].copy()
+            for k in range(1, m):
+                whole = _mix(whole * _MIX + words[at + k : at + k + 1])
+            out.append(_mix(whole + np.uint64(m)))
+    return out
 
 
 def sketch(docs: DataFrame, n: int, chunks: int = 16) -> np.ndarray:
@@ -69,8 +96,9 @@ def sketch(docs: DataFrame, n: int, chunks: int = 16) -> np.ndarray:
 
         cells = np.zeros(1 << CELL_BITS, dtype="<u4")
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                np.add.at(cells, shingles(text, n) >> np.uint64(64 - CELL_BITS), 1)
+            texts = batch.column(0).to_pylist()
+            for a, b in slices(texts, map(len, texts), SLICE_CHARS):
+                np.add.at(cells, np.concatenate(shingles(texts[a:b], n)) >> np.uint64(64 - CELL_BITS), 1)
         for k, part in enumerate(np.split(cells, chunks)):
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(part.tobytes())], pa.binary())], names=["chunk", "cells"])
@@ -110,10 +138,9 @@ def prefixes(docs: DataFrame, n: int, percent: int, level: np.ndarray) -> DataFr
         level = held.value
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            for a, b in slices(texts, map(len, texts), 4_000_000):
+            for a, b in slices(texts, map(len, texts), SLICE_CHARS):
                 sizes, ids, more, prefix = [], [], [], []
-                for text in texts[a:b]:
-                    s = shingles(text, n)
+                for s in shingles(texts[a:b], n):
                     m = len(s)
                     sizes.append(m)
                     ids.append(_signed(s.sum(dtype=np.uint64)))
@@ -137,15 +164,15 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in slices(texts, map(len, texts), 2_000_000):
-                found = [shingles(t, n) for t in texts[a:b]]
+            for a, b in slices(texts, map(len, texts), SLICE_CHARS):
+                found = shingles(texts[a:b], n)
                 yield pa.RecordBatch.from_arrays([pa.array([_signed(s.sum(dtype=np.uint64)) for s in found], pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["id", "s"])
 
     return docs.select(F.coalesce("text", F.lit(""))).mapInArrow(run, "id long, s array<long>")
 
 
 def classes(docs: DataFrame, n: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
-    """(base, component): prefixes() of every document, and (id, component_id) of every class with words."""
+    """(base, component): prefixes() of every document, and (id, component, component_id) of every class with words."""
     base = materialize(prefixes(docs, n, percent, levels(sketch(docs, n))), "prefixes")
     full = base.filter("n_shingles > 0")
     distinct = materialize(full.groupBy("id", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.min("prefix").alias("prefix")), "classes")
@@ -164,21 +191,28 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90) -> tuple[DataFrame,
         fits = 100 * F.least(f"{a}.size", f"{b}.size") >= percent * F.greatest(f"{a}.size", f"{b}.size")
         return fits & (F.col(f"{a}.size") - F.col(f"{a}.pos") >= least) & (F.col(f"{b}.size") - F.col(f"{b}.pos") >= least)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs, "pairs")
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    def verify(met: DataFrame) -> DataFrame:
+        met = materialize(met, "pairs")
+        # common n-grams up to the end of the prefix that ends first are in both prefixes; of the rest of that set, all may be
+        # common: that rules most pairs out by their prefixes alone
+        short = distinct.select("id", "prefix", "n_shingles")
+        both = met.join(short.select(F.col("id").alias("a"), F.col("prefix").alias("p"), F.col("n_shingles").alias("m")), "a").join(short.select(F.col("id").alias("b"), F.col("prefix").alias("q"), F.col("n_shingles").alias("n")), "b")
+        beyond = F.greatest(F.col("m") - F.size("p"), F.col("n") - F.size("q"))
+        least = F.ceil(percent * (F.col("m") + F.col("n")) / F.lit(100 + percent))
+        near = materialize(both.filter(F.size(F.array_intersect("p", "q")) + beyond >= least).select("a", "b"), "near-pairs")
+        ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
         wanted = materialize(distinct.join(ids, "id").select("doc_id", "id"), "wanted")
         few = maybe_broadcast(wanted.select("doc_id").distinct(), wanted.count(), 32)
         read = sets(docs.join(few, docs.doc_id.eqNullSafe(few.doc_id), "left_semi"), n)
         read = materialize(read.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]), "sets")
-        both = pairs.join(read.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(read.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+        both = near.join(read.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(read.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
     component = linked(lists, admissible, verify, "ngrams")
     labelled = distinct.join(materialize(component, "ngram-components"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     smallest = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return base, labelled.join(smallest, "component").select("id", "component_id")
+    return base, labelled.join(smallest, "component").select("id", "component", "component_id")
 
 
 def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -203,7 +237,7 @@ def dedup(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     base, component = classes(docs, n, percent)
     known = base.join(component, (base.id == component.id) & (base.n_shingles > 0), "left")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    kept = known.filter("n_shingles > 0").groupBy("component_id", F.when(F.col("component_id").isNull(), base.id).alias("own")).agg(F.min(place).alias("p")).select("p.doc_id", "p.row")
+    kept = known.filter("n_shingles > 0").groupBy("component").agg(F.min(place).alias("p")).select("p.doc_id", "p.row")
     keep = kept.unionByName(base.filter("n_shingles = 0").select("doc_id", "row")).distinct().withColumnsRenamed({"doc_id": "doc_id__", "row": "row__"})
     text = F.coalesce("text", F.lit(""))
     out = docs.join(keep, docs.doc_id.eqNullSafe(F.col("doc_id__")) & (F.xxhash64(text) == F.col("row__")), "left_semi")
