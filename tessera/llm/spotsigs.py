@@ -27,22 +27,37 @@ def words(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
-def signatures(text: Column, chain: int = 2, anchors: dict[str, list[str]] = ANCHORS) -> Column:
-    """Sorted distinct 64-bit hashes of the chains of ``chain`` content words after each run of anchors.
+def _any_of(words: list[str]) -> str:
+    """A pattern for any of the words that reads every letter once: alternatives branch where words differ."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        heads.setdefault(w[:1], []).append(w[1:])
+    ends = "" in heads
+    parts = [c + _any_of(rest) for c, rest in heads.items() if c]
+    if not parts:
+        return ""
+    inner = parts[0] if len(parts) == 1 and not ends else f"(?:{'|'.join(parts)})"
+    return f"(?:{inner})?" if ends else inner
+
+
+def with_signatures(df: DataFrame, text: str, out: str, chain: int = 2, anchors: dict[str, list[str]] = ANCHORS) -> DataFrame:
+    """``df`` with a column ``out``: sorted distinct 64-bit hashes of the chains of ``chain`` content words after each run of anchors.
 
     Chains overlap, and anchors inside them do not count. Where anchors are rare (less than a chain for every hundred
     characters: tables, other languages), the words are signatures as well. A text without words has itself as its
-    signature, the empty text none.
+    signature, the empty text none. Every step is a column of its own, so that none is computed twice.
     """
-    common = "|".join(sorted({w for own in anchors.values() for w in own}))
-    spaced = words(text)
+    common = _any_of([w for own in anchors.values() for w in own])
+    df = df.withColumn("__words", words(F.col(text)))
     # "... of the quick brown fox ..." becomes "...|the>quick brown fox ...": the last word of the run names the anchor
-    marked = F.regexp_replace(spaced, f" (?:(?:{common}) )++(?<= ({common}) )", "|$1>")
+    marked = F.regexp_replace("__words", f" (?:({common}) )++", "|$1>")
     found = F.regexp_extract_all(marked, F.lit(rf"\|(?=([^>|]+>[^ >|]+(?:(?: |\|[^>|]+>)[^ >|]+){{{chain - 1}}}))"), F.lit(1))
-    chains = F.transform(found, lambda x: F.xxhash64(F.regexp_replace(x, r"\|[^>|]*>", " ")))
-    single = F.transform(F.filter(F.split(spaced, " "), lambda x: x != ""), lambda x: F.xxhash64(x))
+    df = df.withColumn("__chains", F.transform(found, lambda x: F.xxhash64(F.when(x.contains("|"), F.regexp_replace(x, r"\|[^>|]*>", " ")).otherwise(x))))
+    single = F.transform(F.filter(F.split("__words", " "), lambda x: x != ""), lambda x: F.xxhash64(x))
     whole = F.when(F.length(text) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(text)))
-    return F.array_sort(F.array_distinct(F.when((F.size(chains) > 0) & (F.size(chains) * 100 >= F.length(text)), chains).when(F.length(spaced) > 2, F.concat(chains, single)).otherwise(whole)))
+    enough = (F.size("__chains") > 0) & (F.size("__chains") * 100 >= F.length(text))
+    chosen = F.when(enough, F.col("__chains")).when(F.length("__words") > 2, F.concat("__chains", single)).otherwise(whole)
+    return df.withColumn(out, F.array_sort(F.array_distinct(chosen))).drop("__words", "__chains")
 
 
 def likeness(x: str, y: str, least: float = 0.0) -> Column:
@@ -66,7 +81,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, chain: int = 2) ->
     rows are returned each; other columns are ignored; an empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
-    base = materialize(docs.select("doc_id", signatures(text, chain).alias("s")), "signatures").withColumn("id", F.xxhash64("s", F.size("s")))
+    base = materialize(with_signatures(docs.select("doc_id", text.alias("text")), "text", "s", chain).drop("text"), "signatures").withColumn("id", F.xxhash64("s", F.size("s")))
     distinct = materialize(base.filter("size(s) > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("weight"), F.min("s").alias("s")), "signature-classes")
     size = F.size("s")
     part = F.floor(F.log(size.cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9)
@@ -113,15 +128,16 @@ def edited(docs: DataFrame, chain: int = 2, rows_per_bucket: int = 2_000, most_b
     last = Window.orderBy(F.desc("bucket"))
     heads = heads.withColumn("before", F.lag("head").over(below)).withColumn("wrapped", F.first("head").over(last))
     heads = heads.select(F.col("bucket").alias("of"), F.coalesce("before", "wrapped").alias("head"))
+    heads = with_signatures(heads, "head", "head_s", chain)
 
-    sigs = spread.repartition("bucket").withColumn("s", signatures(F.col("text"), chain))
+    sigs = with_signatures(spread.repartition("bucket"), "text", "s", chain)
     order = Window.partitionBy("bucket").orderBy(F.desc("place"), F.desc("text"))
-    # the head's text stands in for the next one at a range's end; its signatures are made again there
     moved = sigs.withColumn("next", F.lead("text").over(order)).withColumn("next_s", F.lead("s").over(order))
+    # at the end of a range, the head of the range below stands in for the next document
     joined = moved.join(F.broadcast(heads), F.col("next").isNull() & (F.col("bucket") == F.col("of")), "left")
-    joined = joined.withColumn("next_s", F.when(F.col("next").isNull(), signatures(F.coalesce("head", F.lit("")), chain)).otherwise(F.col("next_s"))).withColumn("next", F.coalesce("next", "head"))
+    joined = joined.withColumn("next", F.coalesce("next", "head")).withColumn("next_s", F.coalesce("next_s", "head_s"))
     size = F.length("text")
     third = F.floor(size / 3).cast("int")
     made = joined.select("doc_id", size.cast("long").alias("n_chars"), "s", "next_s", F.concat(F.left("text", size - third), F.left("next", third)).alias("edited"))
-    made = made.withColumn("e", signatures(F.col("edited"), chain))
+    made = with_signatures(made, "edited", "e", chain)
     return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint("s").alias("fingerprint"), fingerprint("e").alias("edited_fingerprint"), likeness("s", "e").alias("near_edited"), likeness("s", "next_s").alias("near_next"))
