@@ -82,7 +82,7 @@ def distance(a, b):
 def simhash(line):
     import xxhash  # Spark's xxhash64 has seed 42
 
-    hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in line.split(" ")]
+    hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in set(line.split(" "))]
     return sum(1 << i for i in range(63) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
 
 
@@ -100,8 +100,8 @@ def test_line_dedup(docs, empty):
     edges = []
     for i, x in enumerate(distinct):
         for j in range(i):
-            longest = max(len(x), len(distinct[j]))
-            if same(hashes[i], hashes[j]) and min(len(x), len(distinct[j])) >= 0.8 * longest and distance(x, distinct[j]) <= int(0.2 * longest + 1e-9):
+            v, w = x.split(" "), distinct[j].split(" ")
+            if same(hashes[i], hashes[j]) and distance(v, w) <= int(0.2 * max(len(v), len(w)) + 1e-9):
                 edges.append((i, j))
     assert edges, "the fixture holds near lines"
     groups = closure(range(len(distinct)), edges)
@@ -158,11 +158,11 @@ def test_signatures(spark):
     anchors = {"en": ["the", "and", "of"]}
     chains = ["the>quick fox", "of>lazy dog"]  # the last anchor of a run names it
     want = spark.createDataFrame([(c,) for c in chains], "c string").select(F.xxhash64("c")).collect()
-    assert sorted(df.select(spotsigs.signatures(F.col("text"), 2, anchors)).first()[0]) == sorted(r[0] for r in want)
+    assert sorted(spotsigs.with_signatures(df, "text", "s", 2, anchors).first().s) == sorted(r[0] for r in want)
 
 
 def test_near_duplicates(docs, empty):
-    rows = docs.select("doc_id", spotsigs.signatures(F.coalesce("text", F.lit(""))).alias("s")).collect()
+    rows = spotsigs.with_signatures(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "s").collect()
     sets = [set(r.s) for r in rows]
     edges = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     groups = closure(range(len(rows)), edges)
