@@ -121,6 +121,22 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup(empty).count() == 0 and line_dedup.decisions(empty).count() == 0
 
 
+def test_line_dedup_finds_all_near_lines(spark):
+    import random
+
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    rows = []
+    for k in range(120):
+        line = [word() for _ in range((5, 8, 10, 20)[k % 4])]
+        other = list(line)
+        for i in r.sample(range(len(line)), len(line) // 5):
+            other[i] = word()
+        rows += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(other))]
+    decided = line_dedup.decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in decided if r.n_dropped) == list(range(1, 240, 2))
+
+
 def test_simhash_of_long_lines(spark):
     line = " ".join(f"w{i % 700}" for i in range(1300))
     got = line_dedup.occurrences(spark.createDataFrame([(1, line)], "doc_id long, text string")).first()
