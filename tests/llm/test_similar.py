@@ -137,6 +137,27 @@ def test_line_dedup_finds_all_near_lines(spark):
     assert sorted(r.doc_id for r in decided if r.n_dropped) == list(range(1, 240, 2))
 
 
+def test_line_dedup_compares_characters_without_punctuation(spark):
+    import random
+
+    r = random.Random(11)
+    pairs = [("and!! ornd.", "and ornd."), ("eding in.", "eding enin."), ("Prologue", "prologve")]
+    for n in (5, 6, 9, 14, 22, 29, 60, 90):
+        for _ in range(12):
+            line = "".join(r.choice("abcdefghijklmnop") if i % 6 < 5 else " " for i in range(n)).strip()
+            other = list(line)
+            # anywhere in a short line, in at most a fifth of the words and two more of a longer one
+            for i in r.sample(range(len(line)), len(line) // 5) if n < 30 else (2, 14, 26, 27):
+                other[i] = "z"
+            pairs.append((line, "".join(other)))
+    rows = [(2 * k + i, line) for k, two in enumerate(pairs) for i, line in enumerate(two)]
+    plain = [re.sub(r"[^a-z]+", " ", line.lower()).strip() for _, line in rows]
+    near = lambda x, y: distance(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9)
+    groups = closure(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(i) if near(plain[i], plain[j])])
+    decided = {r.doc_id: r for r in line_dedup.decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: decided[i].kept_doc_ids[0] if decided[i].n_dropped else i for i in decided} == groups
+
+
 def test_simhash_of_long_lines(spark):
     line = " ".join(f"w{i % 700}" for i in range(1300))
     got = line_dedup.occurrences(spark.createDataFrame([(1, line)], "doc_id long, text string")).first()
