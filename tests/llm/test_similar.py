@@ -164,6 +164,15 @@ def test_simhash_of_long_lines(spark):
     assert got.simhash == simhash(line)
 
 
+def test_lines_of_repeated_rows(spark):
+    line = " ".join(f"w{i}" for i in range(30))
+    near = line.replace("w7 ", "v7 ")
+    docs = spark.createDataFrame([(1, line)] * 40 + [(2, near)] * 3, "doc_id long, text string")
+    assert {(r.doc_id, r.simhash) for r in line_dedup.occurrences(docs).collect()} == {(1, simhash(line)), (2, simhash(near))}
+    decided = line_dedup.decisions(docs).collect()
+    assert sorted((r.doc_id, r.n_dropped, tuple(r.dropped or ())) for r in decided) == [(1, 0, ())] * 40 + [(2, 1, (0,))] * 3
+
+
 def test_native_operators_use_no_python(docs, sf_dir, spark):
     for df in (line_dedup.decisions(docs), line_dedup.dedup(docs), spotsigs.edited(docs), spotsigs.near_duplicates(docs)):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
