@@ -58,7 +58,11 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(read_table(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 3))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_pii, op4_pack, op5_spotsigs, op6_bpe, op7_lines, op8_topk, op9_ngram_join, op10_lm)}
+def op10_lm_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read_table(spark, sf_dir, "documents"), order=3).withColumn("log_score", F.round("log_score", 3))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_pii, op4_pack, op5_spotsigs, op6_bpe, op7_lines, op8_topk, op9_ngram_join, op10_lm, op10_lm_trigram)}
 
 #: SQL for the operators that it can express.
 ORACLES = {
@@ -98,4 +102,18 @@ ORACLES = {
             FROM p JOIN one own ON own.w = p.w LEFT JOIN two ON two.c = p.c AND two.w = p.w LEFT JOIN one context ON context.w = p.c CROSS JOIN total
         ), t AS (SELECT doc_id, count(*) AS n, sum(score) AS score FROM s GROUP BY doc_id)
         SELECT d.doc_id, coalesce(t.n, 0) AS n_words, round(coalesce(t.score, 0), 3) AS log_score FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id""",
+    "op10_lm_trigram": """
+        WITH w AS (
+            SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS w
+            FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS s FROM documents)
+        ), p AS (
+            SELECT doc_id, w, lag(w) OVER o AS c, lag(w, 2) OVER o AS b FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+        ), one AS (SELECT w, count(*) AS n FROM w GROUP BY w), two AS (SELECT c, w, count(*) AS n FROM p WHERE c IS NOT NULL GROUP BY c, w),
+        three AS (SELECT b, c, w, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY b, c, w), total AS (SELECT count(*) AS n FROM w),
+        s AS (
+            SELECT p.doc_id, CASE WHEN p.c IS NULL THEN ln(own.n / total.n) WHEN p.b IS NULL THEN ln(two.n / context.n) ELSE ln(three.n / before.n) END AS score
+            FROM p JOIN one own ON own.w = p.w LEFT JOIN two ON two.c = p.c AND two.w = p.w LEFT JOIN one context ON context.w = p.c
+            LEFT JOIN three ON three.b = p.b AND three.c = p.c AND three.w = p.w LEFT JOIN two before ON before.c = p.b AND before.w = p.c CROSS JOIN total
+        ), t AS (SELECT doc_id, count(*) AS n, sum(score) AS score FROM s GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(t.n, 0) AS n_words, round(coalesce(t.score, 0), 3) AS log_score FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id""",
 }

@@ -144,3 +144,12 @@ def test_scores(docs, empty, order):
     held = lm.score(docs, half, order=order, part_chars=2000).collect()
     assert sorted((r.n_words, round(r.log_score, 6)) for r in held) == sorted(plain_scores([r.text for r in rows], [r.text for r in half.collect()], order, 0.4))
     assert lm.score(empty).count() == 0
+
+
+def test_registered_trigrams(spark, duck, sf_dir):
+    from tessera.llm import queries
+
+    got = sorted((r.doc_id, r.n_words, r.log_score) for r in queries.QUERIES["op10_lm_trigram"](spark, sf_dir).collect())
+    want = sorted(duck.execute(queries.ORACLES["op10_lm_trigram"]).fetchall())
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=0.002)
