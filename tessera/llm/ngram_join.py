@@ -2,8 +2,8 @@
 
 Documents with equal sets are one class. Within a global order that puts rare n-grams first, two sets that link must share
 an n-gram early in both: a class is listed under the n-grams of its prefix only. Classes with the same prefix and size form
-one group; pairs of groups are filtered by size and by the places of the n-gram they share, then expanded to their members
-and verified on the whole sets.
+one group, expanded to its members in the lists; there, each meets the heaviest one, then only those of other components.
+Pairs are filtered by size and by the places of the n-gram they share, and verified on the whole sets.
 
 The order only decides how many candidates there are, never the result, so a sketch of fixed size (counts by hash, over all
 documents) is enough to tell common n-grams from rare ones.
