@@ -3,8 +3,8 @@
 The field is trained on the driver from a small labelled table (a fixed number of sentences made from the templates below;
 another table can be passed), by gradient ascent on the regularised log-likelihood with a scaled forward-backward pass. It
 is decoded by Viterbi in numpy batches. A sequence to decode is a trigger (a digit, an at sign, a bracketed or spelt-out
-"at" or "dot") with ``REACH`` tokens on either side; overlapping ones are one sequence. Text without a trigger cannot hold
-any of the four kinds, so nothing is left out.
+"at" or "dot") with ``REACH`` tokens on either side; overlapping ones are one sequence. Text without a trigger is
+not decoded: an address spelt with a plain "at" and a dot ("bob at example.com"), with no trigger near it, is left out.
 """
 
 from __future__ import annotations
