@@ -249,7 +249,9 @@ spec("window_filter", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_or
 
 spec("top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey ASC NULLS LAST LIMIT 25", Query(select=(item(order_key, "o_orderkey"), item(price, "o_totalprice")), tables=(O,), order_by=(Order(price, True), Order(order_key)), limit=25))
 spec("nulls_last_ascending", f"SELECT c_custkey, c_mktsegment FROM ({NULL_CUSTOMER}) ORDER BY c_mktsegment ASC NULLS LAST, c_custkey ASC NULLS LAST LIMIT 2000000", Query(select=(item(cust_key, "c_custkey"), item(segment, "c_mktsegment")), tables=(C,), order_by=(Order(segment), Order(cust_key)), limit=2_000_000), nullable_tables)
+spec("nulls_last_ascending_all", f"SELECT c_custkey, c_mktsegment FROM ({NULL_CUSTOMER}) ORDER BY c_mktsegment ASC NULLS LAST, c_custkey ASC NULLS LAST", Query(select=(item(cust_key, "c_custkey"), item(segment, "c_mktsegment")), tables=(C,), order_by=(Order(segment), Order(cust_key))), nullable_tables)
 spec("nulls_first_descending", f"SELECT c_custkey, c_mktsegment FROM ({NULL_CUSTOMER}) ORDER BY c_mktsegment DESC NULLS FIRST, c_custkey ASC NULLS LAST LIMIT 50", Query(select=(item(cust_key, "c_custkey"), item(segment, "c_mktsegment")), tables=(C,), order_by=(Order(segment, True), Order(cust_key)), limit=50), nullable_tables)
+spec("nulls_first_descending_all", f"SELECT c_custkey, c_mktsegment FROM ({NULL_CUSTOMER}) ORDER BY c_mktsegment DESC NULLS FIRST, c_custkey ASC NULLS LAST", Query(select=(item(cust_key, "c_custkey"), item(segment, "c_mktsegment")), tables=(C,), order_by=(Order(segment, True), Order(cust_key))), nullable_tables)
 spec("limit_zero", "SELECT o_orderkey FROM orders LIMIT 0", Query(select=(item(order_key, "o_orderkey"),), tables=(O,), limit=0))
 
 # --- several sources --------------------------------------------------------------------------------------------------
