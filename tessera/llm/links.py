@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import materialize
+from ._util import materialize, release
+
+#: Pieces that a long list's rows are dealt into, when rows of other components are looked for.
+SALT = 16
 
 
 def connected(edges: DataFrame, name: str = "component") -> DataFrame:
     """(id, component): the smallest id that every id of ``edges`` (a, b) reaches, by alternating large and small stars.
 
     Each round sends every neighbour to the least one around; edges never grow in number. Minima are found by aggregation
-    and joined back, so that a hub's edges can be split over tasks. Null ends are dropped.
+    and joined back, so that a hub's edges can be split over tasks. Null ends are dropped. A round's table goes when the
+    next one is written.
     """
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     now, before = materialize(now, name), None
@@ -26,26 +30,37 @@ def connected(edges: DataFrame, name: str = "component") -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = materialize(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+        last, now = now, materialize(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+        release(last)
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
 def stars(lists: DataFrame, admissible) -> DataFrame:
     """Pairs (a, b) of every item with the heaviest one of each list that it is in, where they are admissible."""
-    heads = lists.groupBy("key").agg(F.max_by("id", F.struct("weight", "id")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "head")
+    # weight and id as one number, which is compared without sorting: two of equal weight and low bits are both heads
+    order = F.least(F.col("weight"), F.lit((1 << 20) - 1)) * (1 << 43) + F.col("id").bitwiseAND(F.lit((1 << 43) - 1))
+    ranked = lists.withColumn("order", order)
+    heads = ranked.groupBy("key").agg(F.max("order").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "head")
     # the head's own row carries what admissible() asks of it
-    of_heads = lists.join(heads, "key").filter("id = head").drop("head").dropDuplicates(["key"])
+    of_heads = ranked.join(heads, "key").filter("order = head").drop("head", "order")
     met = lists.alias("l").join(of_heads.alias("r"), "key").filter(F.col("l.id") != F.col("r.id"))
     return pairs(met, admissible)
 
 
 def across(lists: DataFrame, component: DataFrame, admissible, name: str) -> DataFrame:
-    """Admissible pairs (a, b) that share a list and lie in different components; lists within one component are dropped."""
+    """Admissible pairs (a, b) that share a list and lie in different components; lists within one component are dropped.
+
+    One side's rows are dealt into SALT pieces and the other side's are copied to each, so that a list takes SALT tasks.
+    """
     labelled = lists.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    rest = materialize(labelled.join(mixed, "key"), f"{name}-rest")
-    met = rest.alias("l").join(rest.alias("r"), "key").filter(F.col("l.component") < F.col("r.component"))
-    return pairs(met, admissible)
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high")
+    rest = materialize(labelled.join(mixed.select("key", (F.col("n") > 64).alias("long")), "key"), f"{name}-rest")
+    met = [rest.filter("NOT long").drop("long")] * 2
+    long = rest.filter("long").drop("long")
+    dealt = long.withColumn("salt", F.pmod("id", F.lit(SALT))), long.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    apart = F.col("l.component") < F.col("r.component")
+    short = met[0].alias("l").join(met[1].alias("r"), "key").filter(apart)
+    return pairs(short, admissible).unionByName(pairs(dealt[0].alias("l").join(dealt[1].alias("r"), ["key", "salt"]).filter(apart), admissible)).distinct()
 
 
 def linked(lists: DataFrame, admissible: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
@@ -61,7 +76,9 @@ def linked(lists: DataFrame, admissible: Callable[[str, str], Column], verify: C
     first = materialize(verify(stars(lists, admissible)), f"{name}-stars")
     component = materialize(connected(first, f"{name}-component"), f"{name}-components")
     second = materialize(verify(across(lists, component, admissible, name)), f"{name}-across")
-    return connected(first.unionByName(second), f"{name}-component")
+    out = materialize(connected(first.unionByName(second), f"{name}-component"), f"{name}-all-components")
+    release(first, component, second)
+    return out
 
 
 def pairs(met: DataFrame, admissible) -> DataFrame:

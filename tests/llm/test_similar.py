@@ -79,48 +79,71 @@ def distance(a, b):
     return row[-1]
 
 
-def simhash(line):
-    import xxhash  # Spark's xxhash64 has seed 42
-
-    hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in set(line.split(" "))]
-    return sum(1 << i for i in range(63) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+def near(x, y):
+    """The definition of near lines, of normalised ones."""
+    longer = lambda a, b: int(0.2 * max(len(a), len(b)) + 1e-9)
+    if max(len(x), len(y)) > 30:
+        v, w = x.split(" "), y.split(" ")
+        edits = distance(v, w)
+        if edits <= longer(v, w):
+            return True
+        if edits > longer(v, w) + line_dedup.SLACK:
+            return False
+    return distance(x, y) <= longer(x, y)
+
+
+def occurrences(rows):
+    """(doc_id, text, line number, normalised line), of distinct (doc_id, text)."""
+    out = []
+    for i, text in sorted({(r.doc_id, r.text or "") for r in rows}):
+        for k, line in enumerate(text.lower().split("\n")):
+            if line := re.sub(r"[\W_]+", " ", line).strip():
+                out.append((i, text, k, line))
+    return out
 
 
 def test_line_dedup(docs, empty):
-    rows = docs.dropDuplicates(["doc_id", "text"]).collect()
-    occurrences = []
-    for r in rows:
-        for k, line in enumerate((r.text or "").lower().split("\n")):
-            line = re.sub(r"[ \t\r]+", " ", line).strip(" ")
-            if re.search(r"[^\W_]", line):
-                occurrences.append((r.doc_id, r.text, k, line))
-    distinct = sorted({o[3] for o in occurrences})
-    hashes = [simhash(x) for x in distinct]
-    same = lambda a, b: any((a ^ b) >> at & ((1 << w) - 1) == 0 for at, w in line_dedup.BLOCKS) and (a ^ b).bit_count() <= 8
-    edges = []
-    for i, x in enumerate(distinct):
-        for j in range(i):
-            v, w = x.split(" "), distinct[j].split(" ")
-            if same(hashes[i], hashes[j]) and distance(v, w) <= int(0.2 * max(len(v), len(w)) + 1e-9):
-                edges.append((i, j))
+    rows = docs.collect()
+    found = occurrences(rows)
+    distinct = sorted({o[3] for o in found})
+    edges = [(i, j) for i, x in enumerate(distinct) for j in range(i) if near(x, distinct[j])]
     assert edges, "the fixture holds near lines"
     groups = closure(range(len(distinct)), edges)
     by_group = {}
-    for o in occurrences:
+    for o in found:
         by_group.setdefault(groups[distinct.index(o[3])], []).append(o)
-    kept = {r.doc_id: 0 for r in rows}
-    total = sum(len(v) - 1 for v in by_group.values())
+    want = sorted((o[0], o[2], own[0][0], own[0][2]) for own in by_group.values() for o in own[1:])
     decided = line_dedup.decisions(docs.dropDuplicates(["doc_id", "text"])).collect()
-    assert len(decided) == len(rows) and sum(r.n_dropped for r in decided) == total
+    got = sorted((r.doc_id, *x) for r in decided for x in zip(r.dropped or [], r.kept_doc_ids or [], r.kept_line_nos or [], strict=True))
+    assert len(decided) == len({(r.doc_id, r.text) for r in rows}) and got == want
+    assert all(r.n_dropped == len(r.dropped or []) for r in decided)
     out = line_dedup.dedup(docs)
-    assert out.columns == docs.columns and out.count() == docs.count() and kept
+    assert out.columns == docs.columns and out.count() == docs.count()
     left = [line for r in out.dropDuplicates(["doc_id", "text"]).collect() for line in (r.text or "").split("\n") if re.search(r"[^\W_]", line)]
-    assert len(left) == len(occurrences) - total
+    assert len(left) == len(found) - len(want)
     assert {r.text for r in out.collect() if r.text is None or not r.text} >= {None, ""}
     assert line_dedup.dedup(docs, drop_emptied=True).count() < docs.count()
     assert line_dedup.dedup(empty).count() == 0 and line_dedup.decisions(empty).count() == 0
 
 
+def test_line_dedup_against_pure_edit_similarity(spark, duck, sf_dir):
+    """Recall of the lines that plain edit similarity of characters groups, over all pairs of lines of up to 600 characters."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = [o for o in occurrences(docs.select("doc_id", "text").collect()) if len(o[3]) <= 600]
+    distinct = sorted({o[3] for o in found})
+    duck.execute("CREATE OR REPLACE TEMP TABLE lines_ AS SELECT unnest(?) AS i, unnest(?) AS x", [list(range(len(distinct))), distinct])
+    edges = duck.execute("SELECT a.i, b.i FROM lines_ a JOIN lines_ b ON a.i < b.i AND 5 * least(length(a.x), length(b.x)) >= 4 * greatest(length(a.x), length(b.x)) WHERE levenshtein(a.x, b.x) <= floor(0.2 * greatest(length(a.x), length(b.x)) + 1e-9)").fetchall()
+    groups = closure(range(len(distinct)), edges)
+    at = {x: i for i, x in enumerate(distinct)}
+    firsts, want = set(), set()
+    for i, _, k, line in found:
+        group = groups[at[line]]
+        (want.add((i, k)) if group in firsts else firsts.add(group))
+    got = {(r.doc_id, k) for r in line_dedup.decisions(docs).collect() for k in r.dropped or []}
+    print(f"recall {len(want & got)}/{len(want)}, {len(got)} dropped in all")
+    assert len(want) > 100 and len(want & got) >= 0.99 * len(want)
+
+
 def test_line_dedup_finds_all_near_lines(spark):
     import random
 
@@ -152,27 +175,37 @@ def test_line_dedup_compares_characters_without_punctuation(spark):
             pairs.append((line, "".join(other)))
     rows = [(2 * k + i, line) for k, two in enumerate(pairs) for i, line in enumerate(two)]
     plain = [re.sub(r"[^a-z]+", " ", line.lower()).strip() for _, line in rows]
-    near = lambda x, y: distance(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9)
-    groups = closure(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(i) if near(plain[i], plain[j])])
+    alike = lambda x, y: distance(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9)
+    groups = closure(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(i) if alike(plain[i], plain[j])])
     decided = {r.doc_id: r for r in line_dedup.decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i: decided[i].kept_doc_ids[0] if decided[i].n_dropped else i for i in decided} == groups
 
 
-def test_simhash_of_long_lines(spark):
-    line = " ".join(f"w{i % 700}" for i in range(1300))
-    got = line_dedup.occurrences(spark.createDataFrame([(1, line)], "doc_id long, text string")).first()
-    assert got.simhash == simhash(line)
-
-
 def test_lines_of_repeated_rows(spark):
     line = " ".join(f"w{i}" for i in range(30))
     near = line.replace("w7 ", "v7 ")
     docs = spark.createDataFrame([(1, line)] * 40 + [(2, near)] * 3, "doc_id long, text string")
-    assert {(r.doc_id, r.simhash) for r in line_dedup.occurrences(docs).collect()} == {(1, simhash(line)), (2, simhash(near))}
     decided = line_dedup.decisions(docs).collect()
     assert sorted((r.doc_id, r.n_dropped, tuple(r.dropped or ())) for r in decided) == [(1, 0, ())] * 40 + [(2, 1, (0,))] * 3
 
 
+def test_lines_of_long_lists(spark, monkeypatch):
+    """Lists beyond LONG lines: a group of near copies, and lines that share a word and nothing else."""
+    import random
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    base = [word() for _ in range(24)]
+    rows = [" ".join(word() if i in (k % 24, (5 * k) % 24) else w for i, w in enumerate(base)) for k in range(40)]
+    rows += [" ".join(["shared", *(word() for _ in range(9))]) for _ in range(40)] + ["de de le " * 20 + " ".join(word() for _ in range(3)) for _ in range(12)]
+    rows = [re.sub(r" +", " ", x).strip() for x in rows]
+    groups = closure(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(i) if near(rows[i], rows[j])])
+    monkeypatch.setattr(line_dedup, "LONG", 4)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    decided = {x.doc_id: x for x in line_dedup.decisions(docs).collect()}
+    assert {i: decided[i].kept_doc_ids[0] if decided[i].n_dropped else i for i in decided} == groups
+
+
 def test_native_operators_use_no_python(docs, sf_dir, spark):
     for df in (line_dedup.decisions(docs), line_dedup.dedup(docs), spotsigs.edited(docs), spotsigs.near_duplicates(docs)):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
