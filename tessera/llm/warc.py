@@ -9,9 +9,11 @@ again makes the same records.
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 VERSION = b"WARC/1.1"
 RECORD = "record_id string, type string, target_uri string, date string, headers map<string,string>, block binary"
 _SPACE = re.compile(r"[ \t\r\f\v ]+")
+#: Codecs of text that are no charsets of pages.
+NOT_CHARSETS = frozenset("idna punycode raw-unicode-escape undefined unicode-escape raw_unicode_escape unicode_escape".split())
 #: Elements whose text is not content, and those that end a line.
 HIDDEN = frozenset("script style noscript template iframe svg".split())
 BREAKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul title body html".split())
@@ -39,7 +43,9 @@ def urn(*parts: str) -> str:
 class _Page(HTMLParser):
     def __init__(self, base: str):
         super().__init__(convert_charrefs=True)
-        self.base, self.hidden, self.in_title = base, 0, False
+        self.base, self.in_title = base, False
+        self.hidden: list[str] = []  # the open elements whose text is not content
+        self.waiting: list[str] = []  # their text
         self.text: list[str] = []
         self.title: list[str] = []
         self.links: list[str] = []
@@ -49,10 +55,10 @@ class _Page(HTMLParser):
     def handle_starttag(self, tag, attrs):
         found = {k: v or "" for k, v in attrs}
         if tag in HIDDEN:
-            self.hidden += 1
+            self.hidden.append(tag)
         self.in_title = tag == "title" or self.in_title
         if tag in BREAKS:
-            self.text.append("\n")
+            self.handle_data("\n")
         if tag == "html":
             self.lang = found.get("lang", "")
         if tag == "a" and found.get("href"):
@@ -66,26 +72,49 @@ class _Page(HTMLParser):
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag in HIDDEN:
-            self.hidden -= 1
+            self._leave(tag)
 
     def handle_endtag(self, tag):
-        if tag in HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
+        if tag in self.hidden:
+            self._leave(tag)
         if tag == "title":
             self.in_title = False
         if tag in BREAKS:
-            self.text.append("\n")
+            self.handle_data("\n")
+
+    def _leave(self, tag):
+        # with the last one of its kind, those that were opened in it and never closed end as well
+        del self.hidden[len(self.hidden) - 1 - self.hidden[::-1].index(tag) :]
+        if not self.hidden:
+            self.waiting = []
 
     def handle_data(self, data):
         if self.in_title:
             self.title.append(data)
-        elif not self.hidden:
-            self.text.append(data)
+        else:
+            (self.waiting if self.hidden else self.text).append(data)
+
+    def parse_marked_section(self, i, report=1):
+        # browsers read what the standard parser stops at as a comment
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
+    def close(self):
+        super().close()
+        # an element that never ends hides nothing, unless it holds code
+        if self.hidden and self.hidden[0] not in ("script", "style"):
+            self.text += self.waiting
 
 
 def read_page(html: str, base: str) -> _Page:
+    """The page as far as the parser can read it: it takes any text, but stops where it finds itself in a state it rules out."""
     page = _Page(base)
-    page.feed(html)
+    try:
+        page.feed(html)
+    except AssertionError:
+        page.rawdata = ""
     page.close()
     return page
 
@@ -105,33 +134,77 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status, [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)], payload
 
 
-def charset(fields: list[tuple[str, str]], payload: bytes) -> str:
+def body(fields: list[tuple[str, str]], payload: bytes) -> bytes:
+    """The payload without its transfer and content codings: chunked, gzip and deflate; whatever is not coded so stays."""
+    codings = [x.strip().lower() for name in ("transfer-encoding", "content-encoding") for k, v in fields if k.lower() == name for x in reversed(v.split(","))]
+    for coding in codings:
+        if coding == "chunked":
+            payload = _dechunked(payload)
+        elif coding in ("gzip", "x-gzip", "deflate"):
+            payload = _inflated(payload)
+    return payload
+
+
+def _dechunked(data: bytes) -> bytes:
+    out, at = [], 0
+    while (end := data.find(b"\n", at)) >= 0:
+        size = data[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,15}", size):
+            break
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        out.append(data[end + 1 : end + 1 + n])
+        at = end + 1 + n
+        at += 2 if data[at : at + 2] == b"\r\n" else data[at : at + 1] == b"\n"
+    # crawlers often store the text without its chunks, under the old header; a cut-off last chunk counts as far as it goes
+    return b"".join(out) if out and at >= len(data) else data
+
+
+def _inflated(data: bytes) -> bytes:
+    for kind in (47, -15):  # gzip and zlib by their headers, or bare
+        out, rest = [], data
+        try:
+            while rest:
+                one = zlib.decompressobj(kind)
+                out.append(one.decompress(rest))
+                rest = one.unused_data
+        except zlib.error:
+            pass
+        if any(out):
+            return b"".join(out)
+    return data
+
+
+def decoded(fields: list[tuple[str, str]], payload: bytes) -> tuple[str, str]:
+    """(text, charset): by the header or the page itself; UTF-8 where they name none, or one that does not decode text."""
     kind = next((v for k, v in fields if k.lower() == "content-type"), "")
     found = re.search(r"charset=[\"']?([\w.:-]+)", kind, re.IGNORECASE) or re.search(rb"<meta[^>]{0,200}charset=[\"']?([\w.:-]+)", payload[:4096], re.IGNORECASE)
     name = found[1] if found else "utf-8"
     name = name.decode("ascii", "replace") if isinstance(name, bytes) else name
     try:
-        b"".decode(name)
-    except LookupError:
-        return "utf-8"
-    return name
+        if codecs.lookup(name).name not in NOT_CHARSETS:
+            return payload.decode(name, "replace"), name
+    except (LookupError, UnicodeError):
+        pass
+    return payload.decode("utf-8", "replace"), "utf-8"
 
 
 def derive_one(record_id: str, uri: str, date: str, headers: dict[str, str], block: bytes) -> list[dict]:
     """The conversion and the metadata record of one response."""
     status, fields, payload = split_http(block)
-    coding = charset(fields, payload)
-    page = read_page(payload.decode(coding, "replace"), uri)
-    text = plain(page).encode()
+    html, coding = decoded(fields, body(fields, payload))
+    page = read_page(html, uri)
+    text = plain(page).encode("utf-8", "replace")
     link = {"WARC-Refers-To": record_id, "WARC-Refers-To-Target-URI": uri, "WARC-Refers-To-Date": date}
     block_digest, payload_digest = headers.get("WARC-Block-Digest") or digest(block), headers.get("WARC-Payload-Digest") or digest(payload)
     conversion_id, metadata_id = urn(record_id, "conversion"), urn(record_id, "metadata")
     facts = [("source-status", status), *((f"source-http-{k.lower()}", v) for k, v in fields), *((f"source-{k.lower()}", v) for k, v in sorted(headers.items())), ("source-block-digest", block_digest), ("source-payload-digest", payload_digest), ("charset", coding), ("title", " ".join("".join(page.title).split())), ("lang", page.lang), *((f"meta-{k}", " ".join(v.split())) for k, v in page.metas), *(("outlink", x) for x in page.links), ("conversion", conversion_id)]
-    about = "".join(f"{k}: {' '.join(v.splitlines())}\r\n" for k, v in facts).encode()
+    about = "".join(f"{k}: {' '.join(v.splitlines())}\r\n" for k, v in facts).encode("utf-8", "replace")
 
-    def record(kind: str, own: str, content: str, body: bytes, also: dict[str, str]) -> dict:
-        named = {"WARC-Type": kind, "WARC-Record-ID": own, "WARC-Target-URI": uri, "WARC-Date": date, **link, **also, "WARC-Block-Digest": digest(body), "Content-Type": content, "Content-Length": str(len(body))}
-        return {"record_id": own, "type": kind, "target_uri": uri, "date": date, "headers": list(named.items()), "block": body}
+    def record(kind: str, own: str, content: str, block: bytes, also: dict[str, str]) -> dict:
+        named = {"WARC-Type": kind, "WARC-Record-ID": own, "WARC-Target-URI": uri, "WARC-Date": date, **link, **also, "WARC-Block-Digest": digest(block), "Content-Type": content, "Content-Length": str(len(block))}
+        return {"record_id": own, "type": kind, "target_uri": uri, "date": date, "headers": list(named.items()), "block": block}
 
     return [
         record("conversion", conversion_id, "text/plain; charset=utf-8", text, {"WARC-Source-Payload-Digest": payload_digest}),
@@ -170,7 +243,7 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
             for start in range(0, batch.num_rows, 64):
                 out = []
                 for number, url, html in zip(*(c.to_pylist() for c in batch.slice(start, 64).columns), strict=True):
-                    payload = (html or "").encode()
+                    payload = (html or "").encode("utf-8", "replace")
                     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
                     headers = {"WARC-Block-Digest": digest(block), "WARC-Payload-Digest": digest(payload), "Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block)), "X-Page-Id": str(number)}
                     out.append({"record_id": urn(url or "", str(number)), "type": "response", "target_uri": url or "", "date": date, "headers": list(headers.items()), "block": block})
@@ -180,29 +253,58 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
 
 
 def dump(record: dict) -> bytes:
-    """One record as bytes of a WARC file."""
-    headers = dict(record["headers"] or [])
-    named = {"WARC-Type": record["type"], "WARC-Record-ID": record["record_id"], "WARC-Target-URI": record["target_uri"], "WARC-Date": record["date"], **headers, "Content-Length": str(len(record["block"]))}
-    return VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in named.items() if v is not None).encode() + b"\r\n" + record["block"] + b"\r\n\r\n"
+    """One record as bytes of a WARC file; a null block is empty, null fields are left out."""
+    headers, block = dict(record["headers"] or []), record["block"] or b""
+    named = {"WARC-Type": record["type"], "WARC-Record-ID": record["record_id"], "WARC-Target-URI": record["target_uri"], "WARC-Date": record["date"], **headers, "Content-Length": str(len(block))}
+    return VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in named.items() if v is not None).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def members(data: bytes) -> Iterator[bytes]:
+    """The members of a gzip file, one by one; a broken or cut-off one as far as it can be read. Plain data is one."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    while data[:2] == b"\x1f\x8b":
+        one, out = zlib.decompressobj(31), []
+        try:
+            for at in range(0, len(data), 1 << 20):
+                out.append(one.decompress(data[at : at + (1 << 20)]))
+                if one.eof:
+                    break
+        except zlib.error:
+            pass
+        yield b"".join(out)
+        if not one.eof:
+            return
+        data = data[at + min(1 << 20, len(data) - at) - len(one.unused_data) :]
 
 
 def parse(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file's bytes; compressed members (gzip) are opened first."""
-    if data[:2] == b"\x1f\x8b":
-        import gzip
+    """Records of a WARC file's bytes, gzipped (by records, or as one) or not.
+
+    The values of a repeated header are joined by a comma. Without a usable length, a record goes as far as the next one;
+    a cut-off record has what is there.
+    """
+    for member in members(data):
+        yield from _parse(member)
+
 
-        data = gzip.decompress(data)
+def _parse(data: bytes) -> Iterator[dict]:
     at = data.find(b"WARC/")
     while at >= 0:
         end = data.find(b"\r\n\r\n", at)
         if end < 0:
             return
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers.get("Content-Length", "0"))
+        headers: dict[str, str] = {}
+        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+            k, _, v = line.partition(":")
+            headers[k.strip()] = f"{headers[k.strip()]}, {v.strip()}" if k.strip() in headers else v.strip()
+        size = headers.get("Content-Length", "")
+        after = data.find(b"\r\n\r\nWARC/", end + 4)
+        stop = end + 4 + int(size) if re.fullmatch("[0-9]{1,18}", size) else after if after >= 0 else len(data)
         own = {k: headers.pop(k, None) for k in ("WARC-Record-ID", "WARC-Type", "WARC-Target-URI", "WARC-Date")}
-        yield {"record_id": own["WARC-Record-ID"], "type": own["WARC-Type"], "target_uri": own["WARC-Target-URI"], "date": own["WARC-Date"], "headers": list(headers.items()), "block": data[end + 4 : end + 4 + size]}
-        at = data.find(b"WARC/", end + 4 + size)
+        yield {"record_id": own["WARC-Record-ID"], "type": own["WARC-Type"], "target_uri": own["WARC-Target-URI"], "date": own["WARC-Date"], "headers": list(headers.items()), "block": data[end + 4 : stop]}
+        at = data.find(b"WARC/", stop)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,8 @@ import re
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import pii, quality, queries, warc
@@ -157,3 +159,56 @@ def test_agrees_with_sql(spark, name, duck, sf_dir):
     from helpers import duck_rows, spark_rows
 
     assert spark_rows(queries.QUERIES[name](spark, sf_dir)) == duck_rows(duck, queries.ORACLES[name])
+
+
+@given(st.lists(st.sampled_from(["<![foo bar]>", "<!", "<![CDATA[x]]>", "<svg>", "</svg>", "<template>", "<p>", "</p>", "text ", "&amp;", "<script>", "</script>", "<title>", "</title>", "<a href='http://[x'>", "<![if IE]>", "<!DOCTYPE", "<?php", "\0", "<"]), max_size=14))
+@settings(max_examples=400, deadline=None)
+def test_any_page_can_be_read(parts):
+    two = warc.derive_one("id", "http://a/b", "d", {}, b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + "".join(parts).encode())
+    assert [r["type"] for r in two] == ["conversion", "metadata"]
+
+
+@pytest.mark.parametrize("name", ["idna", "undefined", "hex", "mbcs", "rot13", "punycode", "no-such", "utf-7", "latin-1"])
+def test_any_charset_can_be_named(name):
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=" + name.encode() + b"\r\n\r\n<p>caf\xe9 \xff</p>"
+    assert warc.derive_one("id", "u", "d", {}, block)[0]["block"].startswith(b"caf")
+
+
+def test_codings_are_undone():
+    import gzip
+    import zlib
+
+    page = b"<p>hello</p><p>world</p>"
+    chunked = b"".join(b"%x\r\n%s\r\n" % (len(c), c) for c in (page[:7], page[7:])) + b"0\r\n\r\n"
+    bare = zlib.compressobj(wbits=-15)
+    bare = bare.compress(page) + bare.flush()
+    zipped = gzip.compress(page)
+    cases = [("Transfer-Encoding: chunked", chunked), ("Transfer-Encoding: chunked", page), ("Content-Encoding: gzip", zipped), ("Content-Encoding: gzip", page), ("Content-Encoding: deflate", zlib.compress(page)), ("Content-Encoding: deflate", bare)]
+    cases.append(("Transfer-Encoding: chunked\r\nContent-Encoding: gzip", b"%x\r\n%s\r\n0\r\n\r\n" % (len(zipped), zipped)))
+    for header, payload in cases:
+        conversion, _ = warc.derive_one("id", "u", "d", {}, b"HTTP/1.1 200 OK\r\n" + header.encode() + b"\r\n\r\n" + payload)
+        assert conversion["block"] == b"hello\nworld", header
+    assert warc._inflated(zipped[:-12])  # cut off: as far as it goes
+
+
+def test_files_that_are_broken():
+    import gzip
+
+    def one(k):
+        return warc.dump({"type": "response", "record_id": f"r{k}", "target_uri": "u", "date": "d", "headers": [("X", "1")], "block": b"b%d" % k})
+
+    assert [r["block"] for r in warc.parse(one(1) + one(2))] == [b"b1", b"b2"]
+    assert [r["block"] for r in warc.parse(gzip.compress(one(1)) + gzip.compress(one(2)))] == [b"b1", b"b2"]
+    assert [r["block"] for r in warc.parse((gzip.compress(one(1)) + gzip.compress(one(2)))[:-9])][:1] == [b"b1"]
+    assert [r["block"] for r in warc.parse(one(1).replace(b"Content-Length: 2", b"Content-Length: x") + one(2))] == [b"b1", b"b2"]
+    assert dict(next(warc.parse(one(1).replace(b"X: 1", b"X: 1\r\nX: 2")))["headers"])["X"] == "1, 2"
+    assert warc.dump({"type": "metadata", "record_id": "r", "target_uri": None, "date": None, "headers": None, "block": None}).endswith(b"Content-Length: 0\r\n\r\n\r\n\r\n")
+    assert list(warc.parse(b"")) == list(warc.parse(b"WARC/1.1")) == []
+
+
+def test_an_element_that_never_ends_hides_nothing():
+    text = lambda html: warc.plain(warc.read_page(html, "u"))
+    assert text("<p>a</p><svg><p>b</p>") == "a\nb"
+    assert text("<p>a</p><svg>x</svg><p>b</p>") == "a\nb"
+    assert text("<p>a</p><template><svg>x</template><p>b</p>") == "a\nb"
+    assert text("<p>a</p><script>code") == "a"
