@@ -101,7 +101,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int, end_id: int)
     def run(batches):
         from pyspark import TaskContext
 
-        coder, part = encoder(path, pattern), TaskContext.get().partitionId()
+        coder, part = encoder(path, pattern, path.endswith(".json")), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
@@ -126,7 +126,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int, end_id: int)
 def pack(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Packs every document (doc_id, text; other columns are ignored) into sequences of at most ``capacity`` tokens.
 
-    A document is its ids and ``end_id``. One longer than ``capacity`` is cut, its first piece taking what is left over.
+    A document is its ids and ``end_id``; the added tokens of a JSON file are found in texts, as the library finds them. One longer than ``capacity`` is cut, its first piece taking what is left over.
     Returns doc_id, piece, start, length, ids_crc32, sequence_id and offset. A null text counts as empty and takes one
     token; repeated rows are packed each; a null doc_id stays null; an empty table gives no rows.
     """

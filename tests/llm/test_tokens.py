@@ -1,5 +1,6 @@
 """BPE, packing and language-model scores against plain versions."""
 
+import functools
 import hashlib
 import math
 import zlib
@@ -33,22 +34,36 @@ def test_chunks_encode_like_the_library(reference_texts):
         assert coder.decode(ids) == text.encode()
 
 
-@given(st.text(alphabet=st.sampled_from(list("ab C.,'s1\n  é")), max_size=120), st.integers(6, 20), st.integers(1, 5))
+@given(st.text(alphabet=st.sampled_from(list("ab C.,'s1\n  é")), max_size=120), st.integers(6, 20), st.integers(1, 5))
 @settings(max_examples=300, deadline=None)
 def test_windows_meet_at_true_boundaries(text, window, overlap):
     compiled = regex.compile(PATTERN)
-    cut = range(0, max(1, len(text) - overlap), window - overlap)
-    windows = [(k, text[k : k + window], bpe.pretokens(compiled, text[k : k + window])) for k in cut]
+    windows = [(at, t, bpe.pretokens(compiled, t)) for at, t in bpe.cut(text, window, overlap)]
     at, found = 0, []
-    for piece, starts in bpe.stitch(iter(windows), compiled):
-        found += [at + s for s in starts]
+    for piece in bpe.stitch(iter(windows), compiled):
+        found += [at + s for s in bpe.pretokens(compiled, piece)]
         at += len(piece)
     assert at == len(text) and found == bpe.pretokens(compiled, text)
 
 
-@pytest.mark.parametrize("window,overlap", [(65536, 1024), (100, 7)])
-def test_encode(spark, docs, texts, reference, window, overlap):
-    rows = bpe.encode(docs, MULTI, PATTERN, window, overlap, bpe.digest, bpe.DIGEST).collect()
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext|", "a", " b", "\n", "  ", "<|", "|>", "é"]), max_size=12))
+@settings(max_examples=300, deadline=None)
+def test_added_tokens_as_the_library(parts):
+    text = "".join(parts)
+    coder = bpe.encoder(JSON, PATTERN, True)
+    found = np.frombuffer(coder.encode_many([text, "plain"])[0], "<u4").tolist()
+    assert found == _library().encode(text, add_special_tokens=False).ids
+    assert coder.decode(np.array(found, "<u4").tobytes()) == text.encode()
+
+
+@functools.cache
+def _library():
+    return Tokenizer.from_file(JSON)
+
+
+@pytest.mark.parametrize("window,overlap,spread", [(4096, 256, 1 << 20), (100, 7, 1 << 20), (100, 7, 900)])
+def test_encode(spark, docs, texts, reference, window, overlap, spread):
+    rows = bpe.encode(docs, MULTI, PATTERN, window, overlap, spread, bpe.digest, bpe.DIGEST).collect()
     want = []
     for r in docs.select("doc_id", "text").collect():
         ids = np.array(reference.encode_ordinary(r.text or ""), "<u4").tobytes()
