@@ -123,15 +123,16 @@ def _open(payload: bytes, order: int):
     return ids, *grams(texts, order)
 
 
-def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = 2, backoff: float = 0.4, part_chars: int = 4_000_000, bucket_words: int = 1_000_000) -> DataFrame:
+def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = 2, backoff: float = 0.4, leave_out: bool = False, part_chars: int = 4_000_000, bucket_words: int = 1_000_000) -> DataFrame:
     """Stupid-backoff scores of every whole text of ``docs`` by the counts of every text of ``corpus`` (``docs`` by default).
 
     A word's score is count(n-gram) / count(its context) for the longest n <= ``order`` whose n-gram has a count, times
-    ``backoff`` for each step down; a word that the corpus lacks gets backoff**steps / (words of the corpus + 1). Returns
-    doc_id, n_words and log_score, the sum of natural logarithms over the document (0 without words). N-grams are kept by a
-    64-bit hash. Null texts count as empty; repeated rows are counted and scored each; other columns are ignored; empty
+    ``backoff`` for each step down; a word that the corpus lacks gets backoff**steps / (words of the corpus + 1). With
+    ``leave_out`` (and no other ``corpus``), every row is scored by the counts of all other rows. Returns n_words and log_score, the sum of natural logarithms over the document (0 without words). N-grams are kept by a 64-bit hash. Null texts count as empty; repeated rows are counted and scored each; other columns are ignored; empty
     tables give no rows, and with an empty corpus every word is one that it lacks.
     """
+    if leave_out and corpus is not None:
+        raise ValueError("only a row of the corpus itself can be left out of it")
     made = parts(docs, corpus is None, True, part_chars)
     if corpus is not None:
         made = made.unionByName(parts(corpus, True, False, part_chars))
@@ -189,17 +190,30 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, order: int = 2, back
                 raise ValueError("the answers do not cover the part")
             value = np.zeros(len(by_order[0]))
             missing = np.ones(len(value), dtype=bool)
-            of = lambda g: np.where(g > 0, counts[np.searchsorted(distinct, g).clip(0, max(0, len(distinct) - 1))], 0) if len(counts) else np.zeros(len(g), dtype=np.int64)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+
+            def of(g: np.ndarray) -> np.ndarray:
+                if not len(counts):
+                    return np.zeros(len(g), dtype=np.int64)
+                at = np.searchsorted(distinct, g).clip(0, len(distinct) - 1)
+                all_ = counts[at]
+                if leave_out:
+                    known = row * (len(distinct) + 1) + np.where(g > 0, at, len(distinct))
+                    _, place, own = np.unique(known, return_inverse=True, return_counts=True)
+                    all_ = all_ - own[place]
+                return np.where(g > 0, all_, 0)
+
             have = [of(g) for g in by_order]
+            words_ = np.full(len(value), total) - (np.repeat(sizes, sizes) if leave_out else 0)
             steps = np.zeros(len(value))
             for n in range(order, 0, -1):
                 usable = by_order[n - 1] > 0
-                context = np.concatenate([[1], have[n - 2][:-1]]) if n > 1 and len(value) else np.full(len(value), max(1, total))
+                context = np.concatenate([[1], have[n - 2][:-1]]) if n > 1 and len(value) else np.maximum(1, words_)
                 hit = missing & usable & (have[n - 1] > 0) & (context > 0)
                 value[hit] = np.log(have[n - 1][hit] / context[hit]) + steps[hit] * np.log(backoff)
                 missing &= ~hit
                 steps += usable & missing & (n > 1)
-            value[missing] = steps[missing] * np.log(backoff) - np.log(total + 1)
+            value[missing] = steps[missing] * np.log(backoff) - np.log(words_[missing] + 1)
             stop = np.cumsum(sizes)
             exact = [float(value[a:b].sum()) for a, b in zip((stop - sizes).tolist(), stop.tolist(), strict=True)]
             out.append((ids, sizes.tolist(), exact))

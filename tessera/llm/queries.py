@@ -37,6 +37,10 @@ def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited(read_table(spark, sf_dir, "documents"))
 
 
+def op5_spotsigs_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read_table(spark, sf_dir, "documents"), *_tokenizer("byte_bpe_multi_50k.tiktoken"), emit=bpe.digest, schema=bpe.DIGEST)
 
@@ -55,14 +59,11 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(read_table(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 3))
-
+    """Trigrams; a document is scored by the counts of all others, as its own would make every n-gram a known one."""
+    return lm.score(read_table(spark, sf_dir, "documents"), order=3, leave_out=True).withColumn("log_score", F.round("log_score", 3))
 
-def op10_lm_trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(read_table(spark, sf_dir, "documents"), order=3).withColumn("log_score", F.round("log_score", 3))
 
-
-QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_pii, op4_pack, op5_spotsigs, op6_bpe, op7_lines, op8_topk, op9_ngram_join, op10_lm, op10_lm_trigram)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_warc, op3_pii, op4_pack, op5_spotsigs, op5_spotsigs_groups, op6_bpe, op7_lines, op8_topk, op9_ngram_join, op10_lm)}
 
 #: SQL for the operators that it can express.
 ORACLES = {
@@ -95,25 +96,21 @@ ORACLES = {
             SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS w
             FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS s FROM documents)
         ), p AS (
-            SELECT doc_id, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM w
-        ), one AS (SELECT w, count(*) AS n FROM w GROUP BY w), two AS (SELECT c, w, count(*) AS n FROM p WHERE c IS NOT NULL GROUP BY c, w), total AS (SELECT count(*) AS n FROM w),
-        s AS (
-            SELECT p.doc_id, CASE WHEN p.c IS NULL THEN ln(own.n / total.n) ELSE ln(two.n / context.n) END AS score
-            FROM p JOIN one own ON own.w = p.w LEFT JOIN two ON two.c = p.c AND two.w = p.w LEFT JOIN one context ON context.w = p.c CROSS JOIN total
-        ), t AS (SELECT doc_id, count(*) AS n, sum(score) AS score FROM s GROUP BY doc_id)
-        SELECT d.doc_id, coalesce(t.n, 0) AS n_words, round(coalesce(t.score, 0), 3) AS log_score FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id""",
-    "op10_lm_trigram": """
-        WITH w AS (
-            SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS w
-            FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS s FROM documents)
-        ), p AS (
-            SELECT doc_id, w, lag(w) OVER o AS c, lag(w, 2) OVER o AS b FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)
-        ), one AS (SELECT w, count(*) AS n FROM w GROUP BY w), two AS (SELECT c, w, count(*) AS n FROM p WHERE c IS NOT NULL GROUP BY c, w),
-        three AS (SELECT b, c, w, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY b, c, w), total AS (SELECT count(*) AS n FROM w),
+            SELECT doc_id, i, w, lag(w) OVER o AS c, lag(w, 2) OVER o AS b FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+        ), own AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id), total AS (SELECT count(*) AS n FROM w),
+        one AS (SELECT doc_id, w, count(*) AS n, sum(count(*)) OVER (PARTITION BY w) - count(*) AS o FROM p GROUP BY doc_id, w),
+        two AS (SELECT doc_id, c, w, count(*) AS n, sum(count(*)) OVER (PARTITION BY c, w) - count(*) AS o FROM p WHERE c IS NOT NULL GROUP BY doc_id, c, w),
+        three AS (SELECT doc_id, b, c, w, sum(count(*)) OVER (PARTITION BY b, c, w) - count(*) AS o FROM p WHERE b IS NOT NULL GROUP BY doc_id, b, c, w),
         s AS (
-            SELECT p.doc_id, CASE WHEN p.c IS NULL THEN ln(own.n / total.n) WHEN p.b IS NULL THEN ln(two.n / context.n) ELSE ln(three.n / before.n) END AS score
-            FROM p JOIN one own ON own.w = p.w LEFT JOIN two ON two.c = p.c AND two.w = p.w LEFT JOIN one context ON context.w = p.c
-            LEFT JOIN three ON three.b = p.b AND three.c = p.c AND three.w = p.w LEFT JOIN two before ON before.c = p.b AND before.w = p.c CROSS JOIN total
+            SELECT p.doc_id, CASE WHEN three.o > 0 THEN ln(three.o / before.o)
+                WHEN two.o > 0 THEN ln(two.o / context.o) + CASE WHEN p.b IS NULL THEN 0 ELSE ln(0.4) END
+                WHEN one.o > 0 THEN ln(one.o / (total.n - own.n)) + (CASE WHEN p.b IS NULL THEN 0 ELSE ln(0.4) END) + (CASE WHEN p.c IS NULL THEN 0 ELSE ln(0.4) END)
+                ELSE -ln(total.n - own.n + 1) + (CASE WHEN p.b IS NULL THEN 0 ELSE ln(0.4) END) + (CASE WHEN p.c IS NULL THEN 0 ELSE ln(0.4) END) END AS score
+            FROM p JOIN own ON own.doc_id = p.doc_id JOIN one ON one.doc_id = p.doc_id AND one.w = p.w
+            LEFT JOIN one context ON context.doc_id = p.doc_id AND context.w = p.c
+            LEFT JOIN two ON two.doc_id = p.doc_id AND two.c = p.c AND two.w = p.w
+            LEFT JOIN two before ON before.doc_id = p.doc_id AND before.c = p.b AND before.w = p.c
+            LEFT JOIN three ON three.doc_id = p.doc_id AND three.b = p.b AND three.c = p.c AND three.w = p.w CROSS JOIN total
         ), t AS (SELECT doc_id, count(*) AS n, sum(score) AS score FROM s GROUP BY doc_id)
         SELECT d.doc_id, coalesce(t.n, 0) AS n_words, round(coalesce(t.score, 0), 3) AS log_score FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id""",
 }

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import materialize
+from ._util import materialize, maybe_broadcast
 from .links import linked
 
 #: Common words of four languages, the anchors.
@@ -40,24 +40,32 @@ def _any_of(words: list[str]) -> str:
     return f"(?:{inner})?" if ends else inner
 
 
+#: A run of so many content words without an anchor stands for itself.
+RUN = 9
+
+
 def with_signatures(df: DataFrame, text: str, out: str, chain: int = 2, anchors: dict[str, list[str]] = ANCHORS) -> DataFrame:
     """``df`` with a column ``out``: sorted distinct 64-bit hashes of the chains of ``chain`` content words after each run of anchors.
 
-    Chains overlap, and anchors inside them do not count. Where anchors are rare (less than a chain for every hundred
-    characters: tables, other languages), the words are signatures as well. A text without words has itself as its
-    signature, the empty text none. Every step is a column of its own, so that none is computed twice.
+    Chains overlap, and anchors inside them do not count. Where RUN content words or more follow each other without an anchor
+    (tables, other languages), each of these words is a signature as well; as chains are, that is decided by what stands
+    there alone. A text without either has its words as signatures, one without words itself, the empty text none. Every step
+    is a column of its own, so that none is computed twice.
     """
     common = _any_of([w for own in anchors.values() for w in own])
     df = df.withColumn("__words", words(F.col(text)))
     # "... of the quick brown fox ..." becomes "...|the>quick brown fox ...": the last word of the run names the anchor
-    marked = F.regexp_replace("__words", f" (?:({common}) )++", "|$1>")
-    found = F.regexp_extract_all(marked, F.lit(rf"\|(?=([^>|]+>[^ >|]+(?:(?: |\|[^>|]+>)[^ >|]+){{{chain - 1}}}))"), F.lit(1))
+    df = df.withColumn("__marked", F.regexp_replace("__words", f" (?:({common}) )++", "|$1>"))
+    found = F.regexp_extract_all("__marked", F.lit(rf"\|(?=([^>|]+>[^ >|]+(?:(?: |\|[^>|]+>)[^ >|]+){{{chain - 1}}}))"), F.lit(1))
+    hashed = lambda items: F.transform(items, lambda x: F.xxhash64(x))
+    runs = F.regexp_extract_all("__marked", F.lit(rf"((?:[^|> ]++ ){{{RUN - 1},}}+[^|> ]++)"), F.lit(1))
+    loose = F.flatten(F.transform(runs, lambda r: hashed(F.split(r, " "))))
     df = df.withColumn("__chains", F.transform(found, lambda x: F.xxhash64(F.when(x.contains("|"), F.regexp_replace(x, r"\|[^>|]*>", " ")).otherwise(x))))
-    single = F.transform(F.filter(F.split("__words", " "), lambda x: x != ""), lambda x: F.xxhash64(x))
+    df = df.withColumn("__chains", F.concat("__chains", loose))
+    single = hashed(F.filter(F.split("__words", " "), lambda x: x != ""))
     whole = F.when(F.length(text) == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(text)))
-    enough = (F.size("__chains") > 0) & (F.size("__chains") * 100 >= F.length(text))
-    chosen = F.when(enough, F.col("__chains")).when(F.length("__words") > 2, F.concat("__chains", single)).otherwise(whole)
-    return df.withColumn(out, F.array_sort(F.array_distinct(chosen))).drop("__words", "__chains")
+    chosen = F.when(F.size("__chains") > 0, F.col("__chains")).when(F.length("__words") > 2, single).otherwise(whole)
+    return df.withColumn(out, F.array_sort(F.array_distinct(chosen))).drop("__words", "__marked", "__chains")
 
 
 def likeness(x: str, y: str, least: float = 0.0) -> Column:
@@ -76,12 +84,25 @@ def fingerprint(sigs: str) -> Column:
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, chain: int = 2) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of its group of near duplicates) of every document of ``docs``.
 
-    Equal sets are one class. Classes are partitioned by the length of their sets, each into two neighbouring partitions,
-    and listed there under the heads of their sets, which similar sets share. Null and empty texts match nothing; repeated
-    rows are returned each; other columns are ignored; an empty table gives no rows.
+    Null and empty texts match nothing; repeated rows are returned each; other columns are ignored; an empty table gives no
+    rows.
     """
     text = F.coalesce("text", F.lit(""))
-    base = materialize(with_signatures(docs.select("doc_id", text.alias("text")), "text", "s", chain).drop("text"), "signatures").withColumn("id", F.xxhash64("s", F.size("s")))
+    base = materialize(with_signatures(docs.select("doc_id", text.alias("text")), "text", "s", chain).drop("text"), "signatures")
+    base = base.withColumn("id", identity("s"))
+    return base.join(classes(base, threshold), "id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def identity(sigs: str) -> Column:
+    return F.xxhash64(sigs, F.size(sigs))
+
+
+def classes(base: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """id and class_id (the smallest doc_id of a group of near duplicates) of the sets ``base`` (doc_id, id, s), without empty ones.
+
+    Equal sets are one class. Classes are partitioned by the length of their sets, each into two neighbouring partitions,
+    and listed there under the heads of their sets, which similar sets share.
+    """
     distinct = materialize(base.filter("size(s) > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("weight"), F.min("s").alias("s")), "signature-classes")
     size = F.size("s")
     part = F.floor(F.log(size.cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9)
@@ -102,7 +123,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, chain: int = 2) ->
     component = linked(lists, admissible, verify, "signatures")
     labelled = distinct.join(component, "id", "left").select("id", "doc_id", F.coalesce("component", "id").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    return base.join(labelled.join(smallest, "component").select("id", "class_id"), "id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return labelled.join(smallest, "component").select("id", "class_id")
 
 
 def edited(docs: DataFrame, chain: int = 2, rows_per_bucket: int = 2_000, most_buckets: int = 4_096) -> DataFrame:
@@ -110,8 +131,8 @@ def edited(docs: DataFrame, chain: int = 2, rows_per_bucket: int = 2_000, most_b
 
     The edited text has the last floor(n_chars / 3) code points replaced by the first as many (or all) of the next document
     by descending doc_id; after the last comes the first. Returns doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited and near_next. Null texts count as empty; a null doc_id comes last; rows with the same
-    doc_id follow each other by descending text; a single row is its own next; an empty table gives no rows.
+    edited_fingerprint, near_edited and near_next. Null texts count as empty; a null doc_id comes last; rows with the same doc_id
+    follow each other by descending text; a single row is its own next; an empty table gives no rows.
 
     Neighbours are found in ranges of doc_id, each in one piece and of like size: only the first document of each range
     (``most_buckets`` at most) is sent on to the range above.
@@ -124,17 +145,19 @@ def edited(docs: DataFrame, chain: int = 2, rows_per_bucket: int = 2_000, most_b
     spread = docs.withColumn("bucket", bucket)
     tops = spread.groupBy("bucket").agg(F.max("place").alias("top"))
     heads = docs.join(F.broadcast(tops), F.col("place") == F.col("top")).groupBy("bucket").agg(F.max("text").alias("head"))  # a row for each range
-    below = Window.orderBy("bucket")
-    last = Window.orderBy(F.desc("bucket"))
-    heads = heads.withColumn("before", F.lag("head").over(below)).withColumn("wrapped", F.first("head").over(last))
-    heads = heads.select(F.col("bucket").alias("of"), F.coalesce("before", "wrapped").alias("head"))
+    heads = materialize(heads, "heads")
+    # a number for each range, of most_buckets at most; the texts follow by a join
+    below, last = Window.orderBy("bucket"), Window.orderBy(F.desc("bucket"))
+    order = heads.select("bucket").withColumn("before", F.lag("bucket").over(below)).withColumn("wrapped", F.first("bucket").over(last))
+    heads = order.select(F.col("bucket").alias("of"), F.coalesce("before", "wrapped").alias("bucket")).join(heads, "bucket").drop("bucket")
     heads = with_signatures(heads, "head", "head_s", chain)
+    held = heads.agg(F.coalesce(F.sum(F.octet_length("head") + 8 * F.size("head_s")), F.lit(0))).first()[0]
 
     sigs = with_signatures(spread.repartition("bucket"), "text", "s", chain)
     order = Window.partitionBy("bucket").orderBy(F.desc("place"), F.desc("text"))
     moved = sigs.withColumn("next", F.lead("text").over(order)).withColumn("next_s", F.lead("s").over(order))
     # at the end of a range, the head of the range below stands in for the next document
-    joined = moved.join(F.broadcast(heads), F.col("next").isNull() & (F.col("bucket") == F.col("of")), "left")
+    joined = moved.join(maybe_broadcast(heads, held, 1), F.col("next").isNull() & (F.col("bucket") == F.col("of")), "left")
     joined = joined.withColumn("next", F.coalesce("next", "head")).withColumn("next_s", F.coalesce("next_s", "head_s"))
     size = F.length("text")
     third = F.floor(size / 3).cast("int")

@@ -240,6 +240,46 @@ def test_signatures(spark):
     assert sorted(spotsigs.with_signatures(df, "text", "s", 2, anchors).first().s) == sorted(r[0] for r in want)
 
 
+def test_signatures_are_local(spark):
+    """Texts with and without anchors, a third of which is replaced by another text, stay half alike."""
+    import random
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("bcdfghklmnprstvz") for _ in range(5))
+    kinds = [lambda: " ".join(r.choice(["the", "of", "and", word(), word(), word()]) for _ in range(300)), lambda: " | ".join(word() for _ in range(300)), lambda: " ".join(word() if i % 100 > 20 else "the " + word() for i in range(300))]
+    texts = [k() for k in kinds for _ in range(4)]
+    rows = [(t, t[: len(t) - len(t) // 3] + o[: len(t) // 3]) for t in texts for o in texts if o != t]
+    df = spark.createDataFrame(rows, "a string, b string")
+    made = spotsigs.with_signatures(spotsigs.with_signatures(df, "a", "s"), "b", "e").select(spotsigs.likeness("s", "e").alias("x"))
+    assert made.agg(F.min("x")).first()[0] >= 0.25
+
+
+def plain_signatures(text):
+    """Chains of two content words after a run of common words, and words of long runs without one; as strings."""
+    common = {w for own in spotsigs.ANCHORS.values() for w in own}
+    words = re.findall(r"[^\W_]+", text.lower())
+    out, runs, run = set(), [], []
+    for i, w in enumerate(words):
+        if w in common:
+            runs.append(run)
+            run = []
+            if i + 1 == len(words) or words[i + 1] not in common:
+                rest = [x for x in words[i + 1 :] if x not in common][:2]
+                if len(rest) == 2:
+                    out.add(f"{w}>{rest[0]} {rest[1]}")
+        else:
+            run.append(w)
+    out |= {w for own in [*runs, run] if len(own) >= spotsigs.RUN for w in own}
+    return out or set(words)
+
+
+def test_signatures_against_plain_ones(spark, texts):
+    rows = [(i, t) for i, t in enumerate(texts) if t and re.search(r"[^\W_]", t)]
+    want = spark.createDataFrame([(i, s) for i, t in rows for s in plain_signatures(t)], "i int, s string").groupBy("i").agg(F.array_sort(F.collect_set(F.xxhash64("s"))).alias("s"))
+    got = spotsigs.with_signatures(spark.createDataFrame(rows, "i int, text string"), "text", "s")
+    assert {r.i: r.s for r in got.collect()} == {r.i: r.s for r in want.collect()}
+
+
 def test_near_duplicates(docs, empty):
     rows = spotsigs.with_signatures(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "s").collect()
     sets = [set(r.s) for r in rows]

@@ -161,10 +161,18 @@ def test_scores(docs, empty, order):
     assert lm.score(empty).count() == 0
 
 
-def test_registered_trigrams(spark, duck, sf_dir):
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_scores_by_all_other_rows(docs, order):
+    texts = [r.text for r in docs.collect()]
+    got = lm.score(docs, order=order, leave_out=True, part_chars=2000).collect()
+    want = [plain_scores([t], texts[:i] + texts[i + 1 :], order, 0.4)[0] for i, t in enumerate(texts)]
+    assert sorted((r.n_words, round(r.log_score, 6)) for r in got) == sorted(want)
+
+
+def test_registered_scores(spark, duck, sf_dir):
     from tessera.llm import queries
 
-    got = sorted((r.doc_id, r.n_words, r.log_score) for r in queries.QUERIES["op10_lm_trigram"](spark, sf_dir).collect())
-    want = sorted(duck.execute(queries.ORACLES["op10_lm_trigram"]).fetchall())
+    got = sorted((r.doc_id, r.n_words, r.log_score) for r in queries.QUERIES["op10_lm"](spark, sf_dir).collect())
+    want = sorted(duck.execute(queries.ORACLES["op10_lm"]).fetchall())
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=0.002)
