@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -48,6 +49,15 @@ def release(*tables: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._written)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    collect_garbage()
+
+
+def collect_garbage() -> None:
+    """Shuffle files go when the driver's JVM finds that nothing refers to them any more; this asks it to look."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
