@@ -12,13 +12,13 @@ UNITS = ("second", "minute", "hour", "day", "week", "month", "quarter", "half_ye
 ALIASES = {
     "second": "s sec secs seconds".split(),
     "minute": "min mins minutes mi".split(),
-    "hour": "h hr hrs hours hh".split(),
-    "day": "d days dd".split(),
-    "week": "w wk weeks wks".split(),
-    "month": "mon mons months mm mth mths".split(),
-    "quarter": "q qtr quarters qtrs".split(),
-    "half_year": "half half-year halfyear half_years halves semester h1 h2".split(),
-    "year": "y yr yrs years yyyy".split(),
+    "hour": "h hr hrs hours hh hourly".split(),
+    "day": "d days dd daily".split(),
+    "week": "w wk weeks wks weekly".split(),
+    "month": "mo mos mon mons months mm mth mths monthly".split(),
+    "quarter": "q qtr quarters qtrs quarterly".split(),
+    "half_year": "half half-year halfyear halfyears half_years halves semester semesters semiannual semi_annual semi-annual semiannually h1 h2".split(),
+    "year": "y yr yrs years yyyy yearly annual annually".split(),
 }
 _CANONICAL = {a: u for u, names in ALIASES.items() for a in (u, *names)}
 _MONTHS = {"month": 1, "quarter": 3, "half_year": 6, "year": 12}

@@ -18,6 +18,7 @@ class Style:
     case_insensitive: bool = False  # by its collation: no folding needed
     nullable: bool = True
     array: bool = False
+    escape: str = "/"  # of patterns; "" is none
 
 
 def placed(c: Column, descending: bool, nulls: str = "") -> Column:
@@ -56,7 +57,9 @@ def apply(left: Column, op: str, right, style: Style = Style()) -> Column:
         own = _folded(left, style, fold)
         core = own.isin(*values) if many else own == values[0]
     elif op in ("like", "not like", "ilike", "not ilike"):
-        core = F.like(F.lower(left), F.lower(right if isinstance(right, Column) else F.lit(right)), F.lit("/"))
+        # without an escape character: one that no text holds
+        escape = style.escape.lower() or "\uffff"
+        core = F.like(F.lower(left), F.lower(right if isinstance(right, Column) else F.lit(right)), F.lit(escape))
     else:
         return compare(left, op, right if isinstance(right, Column) else F.lit(right))
     if op == "!=" or op.startswith("not "):

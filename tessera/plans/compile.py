@@ -289,7 +289,7 @@ class _Scope:
         left = self.expr(p.left)
         nullable = column is None or column.nullable
         text = column.value_type == "string" if column else any(isinstance(v, Lit) and isinstance(v.value, str) and not v.kind for v in (p.right if isinstance(p.right, tuple) else (p.right,)))
-        style = ops.Style(text=text, fixed_width=bool(column and column.fixed_width), case_insensitive=bool(column and column.case_insensitive), nullable=nullable, array=bool(column and column.value_type == "array"))
+        style = ops.Style(text=text, fixed_width=bool(column and column.fixed_width), case_insensitive=bool(column and column.case_insensitive), nullable=nullable, array=bool(column and column.value_type == "array"), escape=p.escape)
         if isinstance(p.right, tuple):
             return ops.apply(left, p.op, [v.value if isinstance(v, Lit) and not v.kind else self.expr(v) for v in p.right], style)
         if isinstance(p.right, Lit) and not p.right.kind:

@@ -133,11 +133,15 @@ class Unnest:
 
 @node
 class Pred:
-    """``left op right``: right is an expression, a tuple of literals (in, not in, between), or None (is null)."""
+    """``left op right``: right is an expression, a tuple of literals (in, not in, between), or None (is null).
+
+    ``escape`` is the escape character of a pattern; "" is none.
+    """
 
     left: Any
     op: str
     right: Any = None
+    escape: str = "/"
 
 
 @node

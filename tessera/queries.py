@@ -133,8 +133,8 @@ def with_arrays(frames, catalog):
 
 
 spec("unnest", "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part", Query(select=(item(col("s.p_partkey"), "p_partkey"), item(col("s.word"), "word")), tables=("s",), steps=(Step("s", Query(select=(item(col("items.p_partkey"), "p_partkey"), item(Unnest(col("items.words")), "word")), tables=("items",))),)), with_arrays)
-spec("array_contains", "SELECT p_partkey FROM part WHERE list_contains(string_split(lower(p_name), ' '), 'part_0')", Query(select=(item(col("items.p_partkey"), "p_partkey"),), tables=("items",), where=where(col("items.words"), "contains", " PART_0 ")), with_arrays)
-spec("json_array_contains", "SELECT p_partkey FROM part WHERE list_contains(string_split(lower(p_name), ' '), 'part_0')", Query(select=(item(col("items.p_partkey"), "p_partkey"),), tables=("items",), where=where(col("items.words_json"), "contains", "Part_0")), with_arrays)
+spec("array_contains", "SELECT p_partkey FROM part WHERE list_contains(string_split(lower(p_name), ' '), 'widget')", Query(select=(item(col("items.p_partkey"), "p_partkey"),), tables=("items",), where=where(col("items.words"), "contains", " WIDGET ")), with_arrays)
+spec("json_array_contains", "SELECT p_partkey FROM part WHERE list_contains(string_split(lower(p_name), ' '), 'widget')", Query(select=(item(col("items.p_partkey"), "p_partkey"),), tables=("items",), where=where(col("items.words_json"), "contains", "Widget")), with_arrays)
 
 # --- scalar functions -------------------------------------------------------------------------------------------------
 
@@ -414,3 +414,4 @@ def description(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark, frames, catalog).describe().groupBy("table_name").agg(F.count(F.lit(1)).alias("n"))
 
 
+from . import queries_uploads  # noqa: E402, F401  registers its queries here

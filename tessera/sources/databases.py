@@ -30,10 +30,34 @@ SELECT c.table_name AS child, c.column_name AS child_column, p.table_name AS par
 FROM information_schema.referential_constraints r
 JOIN information_schema.key_column_usage c ON c.constraint_name = r.constraint_name AND c.constraint_schema = r.constraint_schema
 JOIN information_schema.key_column_usage p ON p.constraint_name = r.unique_constraint_name AND p.constraint_schema = r.unique_constraint_schema AND p.ordinal_position = c.position_in_unique_constraint"""
+#: MySQL and MariaDB call every primary key PRIMARY, so keys cannot be joined by name there; they name the parent themselves.
+MYSQL_KEYS = """
+SELECT table_name AS child, column_name AS child_column, referenced_table_name AS parent, referenced_column_name AS parent_column, constraint_name AS name, ordinal_position AS place
+FROM information_schema.key_column_usage WHERE table_schema = DATABASE() AND referenced_table_name IS NOT NULL"""
+MYSQL_PRIMARY = """
+SELECT table_name AS child, column_name AS child_column, ordinal_position AS place
+FROM information_schema.key_column_usage WHERE table_schema = DATABASE() AND constraint_name = 'PRIMARY'"""
+#: Engines without an information schema of keys.
+ORACLE_KEYS = """
+SELECT c.table_name AS child, c.column_name AS child_column, p.table_name AS parent, p.column_name AS parent_column, r.constraint_name AS name, c.position AS place
+FROM user_constraints r
+JOIN user_cons_columns c ON c.constraint_name = r.constraint_name
+JOIN user_cons_columns p ON p.constraint_name = r.r_constraint_name AND p.position = c.position
+WHERE r.constraint_type = 'R'"""
+ORACLE_PRIMARY = """
+SELECT c.table_name AS child, c.column_name AS child_column, c.position AS place
+FROM user_constraints r JOIN user_cons_columns c ON c.constraint_name = r.constraint_name WHERE r.constraint_type = 'P'"""
+SQLITE_KEYS = """
+SELECT m.name AS child, f."from" AS child_column, f."table" AS parent, coalesce(f."to", f."from") AS parent_column, 'key_' || f.id AS name, f.seq AS place
+FROM sqlite_master m JOIN pragma_foreign_key_list(m.name) f WHERE m.type = 'table'"""
+SQLITE_PRIMARY = """
+SELECT m.name AS child, c.name AS child_column, c.pk AS place
+FROM sqlite_master m JOIN pragma_table_info(m.name) c WHERE m.type = 'table' AND c.pk > 0"""
 INFORMATION_SCHEMA_PRIMARY = """
 SELECT k.table_name AS child, k.column_name AS child_column, k.ordinal_position AS place
-FROM information_schema.table_constraints t JOIN information_schema.key_column_usage k ON k.constraint_name = t.constraint_name AND k.table_name = t.table_name
+FROM information_schema.table_constraints t JOIN information_schema.key_column_usage k ON k.constraint_name = t.constraint_name AND k.table_schema = t.table_schema AND k.table_name = t.table_name
 WHERE t.constraint_type = 'PRIMARY KEY'"""
+KEYS = {"mysql": (MYSQL_PRIMARY, MYSQL_KEYS), "mariadb": (MYSQL_PRIMARY, MYSQL_KEYS), "oracle": (ORACLE_PRIMARY, ORACLE_KEYS), "sqlite": (SQLITE_PRIMARY, SQLITE_KEYS)}
 
 
 @dataclass
@@ -72,12 +96,13 @@ class Database:
         return self._reader(spark).option("query", sql).load()
 
     def keys(self, spark: SparkSession) -> tuple[dict[str, tuple], list[ForeignKey]]:
-        """Declared primary and foreign keys, for engines with an information schema."""
+        """Declared primary and foreign keys, by the engine's own views of them, or the information schema."""
+        of_primary, of_foreign = KEYS.get(self.engine, (INFORMATION_SCHEMA_PRIMARY, INFORMATION_SCHEMA_KEYS))
         primary: dict[str, list] = {}
-        for r in sorted(self.query(spark, INFORMATION_SCHEMA_PRIMARY).collect(), key=lambda r: r["place"]):
+        for r in sorted(self.query(spark, of_primary).collect(), key=lambda r: r["place"]):
             primary.setdefault(r["child"], []).append(r["child_column"])
         edges: dict[tuple, list] = {}
-        for r in sorted(self.query(spark, INFORMATION_SCHEMA_KEYS).collect(), key=lambda r: r["place"]):
+        for r in sorted(self.query(spark, of_foreign).collect(), key=lambda r: r["place"]):
             edges.setdefault((r["name"], r["child"], r["parent"]), []).append((r["child_column"], r["parent_column"]))
         return {t: tuple(c) for t, c in primary.items()}, [ForeignKey(c, tuple(a for a, _ in on), p, tuple(b for _, b in on)) for (_, c, p), on in edges.items()]
 

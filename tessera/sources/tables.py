@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ..plans.catalog import Catalog, ForeignKey
 
@@ -23,10 +24,22 @@ FOREIGN_KEYS = [
 ]
 
 
+#: Schemas by application and path: reading one takes a job.
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
+def _open(spark: SparkSession, path: str) -> DataFrame:
+    """A table whose schema is read once in an application; clear ``_SCHEMAS`` after a table has been replaced."""
+    key = spark.sparkContext.applicationId, path
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
+
+
 def open_tables(spark: SparkSession, folder: str, names: list[str] | None = None) -> tuple[dict[str, DataFrame], Catalog]:
     """DataFrames by name, and their catalog; declared keys are not null, and so are the keys that point at them."""
     names = list(names or PRIMARY_KEYS)
-    frames = {n: spark.read.parquet(f"{folder.rstrip('/')}/{n}.parquet") for n in names}
+    frames = {n: _open(spark, f"{folder.rstrip('/')}/{n}.parquet") for n in names}
     keys = [k for k in FOREIGN_KEYS if k.table in frames and k.parent in frames]
     catalog = Catalog.reflect(frames, {n: k for n, k in PRIMARY_KEYS.items() if n in frames}, keys)
     for k in keys:

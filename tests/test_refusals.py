@@ -75,7 +75,7 @@ SQL = {
     "rollup": "SELECT o_custkey, count(*) FROM orders GROUP BY ROLLUP(o_custkey)",
     "two statements": "SELECT 1 FROM orders; SELECT 2 FROM orders",
     "cross join": "SELECT o_orderkey FROM orders CROSS JOIN customer",
-    "subquery in": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
+    "subquery beside or": "SELECT c_custkey FROM customer WHERE c_acctbal > 0 OR c_custkey IN (SELECT o_custkey FROM orders)",
     "full join": "SELECT o_orderkey FROM orders FULL JOIN customer ON o_custkey = c_custkey",
     "star": "SELECT * FROM orders",
 }

@@ -127,3 +127,31 @@ def test_database_urls():
     assert all(databases.Database(e, "d").url() is not None for e in databases.ENGINES)
     with pytest.raises(ValueError):
         databases.Database("other", "d").url()
+
+
+def test_sqlite_keys_are_read():
+    import sqlite3
+
+    db = sqlite3.connect(":memory:")
+    db.executescript("CREATE TABLE city (id INTEGER PRIMARY KEY, name TEXT); CREATE TABLE shop (a INT, b INT, city INT REFERENCES city(id), PRIMARY KEY (a, b)); CREATE TABLE visit (a INT, b INT, FOREIGN KEY (a, b) REFERENCES shop(a, b));")
+    db.row_factory = sqlite3.Row
+
+    class Here(databases.Database):
+        def query(self, spark, sql):
+            found = db.execute(sql).fetchall()
+            return type("Rows", (), {"collect": lambda _: [dict(r) for r in found]})()
+
+    primary, foreign = Here("sqlite", "d").keys(None)
+    assert primary == {"city": ("id",), "shop": ("a", "b")}
+    assert sorted((k.table, k.columns, k.parent, k.parent_columns) for k in foreign) == [("shop", ("city",), "city", ("id",)), ("visit", ("a", "b"), "shop", ("a", "b"))]
+
+
+def test_mysql_keys_name_their_parent():
+    rows = {databases.MYSQL_PRIMARY: [{"child": t, "child_column": "id", "place": 1} for t in ("a", "b", "c")], databases.MYSQL_KEYS: [{"child": "b", "child_column": "a_id", "parent": "a", "parent_column": "id", "name": "fk", "place": 1}]}
+
+    class Mocked(databases.Database):
+        def query(self, spark, sql):
+            return type("Rows", (), {"collect": lambda _: rows[sql]})()
+
+    primary, foreign = Mocked("mysql", "d").keys(None)
+    assert set(primary) == {"a", "b", "c"} and [(k.table, k.parent) for k in foreign] == [("b", "a")]
