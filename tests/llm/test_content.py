@@ -212,3 +212,67 @@ def test_an_element_that_never_ends_hides_nothing():
     assert text("<p>a</p><svg>x</svg><p>b</p>") == "a\nb"
     assert text("<p>a</p><template><svg>x</template><p>b</p>") == "a\nb"
     assert text("<p>a</p><script>code") == "a"
+
+
+def test_scores_by_a_plain_refit(spark, sf_dir):
+    import zlib
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    labels = {r.doc_id: float(r.quality) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    key = {i: zlib.crc32(str(i).encode()) for i in docs}
+    x = {i: np.array(quality.statistics(t)) for i, t in docs.items()}
+    taught = [i for i in labels if i in docs and key[i] % 3 != 1]
+    all_x = np.array([x[i] for i in taught])
+    f = quality.Fourier(all_x.mean(axis=0), all_x.std(axis=0), 512, 3.0, 7)
+    fit = [i for i in taught if key[i] // 3 % 5]
+    z, y = f(np.array([x[i] for i in fit])), np.array([labels[i] for i in fit])
+    beta = np.linalg.solve(z.T @ z + 1e-4 * max(1.0, len(fit)) * np.eye(z.shape[1]), z.T @ y)
+    raw = {i: float((f(x[i][None]) @ beta)[0]) for i in docs}
+    bins = {}
+    for i in taught:
+        if key[i] // 3 % 5 == 0:
+            bins.setdefault(np.floor((min(1.5, max(-0.5, raw[i])) + 0.5) / 2 * 1000), []).append(i)
+    pools = [[np.mean([raw[i] for i in b]), np.mean([labels[i] for i in b]), len(b)] for b in bins.values()]
+    pools = sorted(pools)
+    # the least-squares non-decreasing fit by its definition: the largest of all lower means, of the smallest upper ones
+    w, v = np.array([p[2] for p in pools]), np.array([p[1] for p in pools])
+    level = [max(min((w[a : b + 1] @ v[a : b + 1]) / w[a : b + 1].sum() for b in range(k, len(v))) for a in range(k + 1)) for k in range(len(v))]
+    knots, values = [], []
+    for u in dict.fromkeys(np.round(level, 12)):
+        own = [k for k in range(len(v)) if round(level[k], 12) == u]
+        knots.append(sum(pools[k][0] * pools[k][2] for k in own) / sum(pools[k][2] for k in own))
+        values.append(u)
+    want = {i: np.interp(r, [knots[0] - 1, *knots, knots[-1] + 1], [0, *values, 1]) for i, r in raw.items()}
+    got = {r.doc_id: r.score for r in queries.op1_quality(spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in got) < 1e-6
+
+
+def test_viterbi_of_many_sequences():
+    from itertools import product
+
+    field = pii.default_field()
+    sequences = [pii.tokenize(t)[0][:4] for t in ("a@b . c", "bob [at] x", "(375) 555", "4111.1111", "in 1998", "x", "+1 (2", "1.2.3.4")] + [[]]
+    found = field.decode(sequences, cells=8)
+    for shapes, tags in zip(sequences, found, strict=True):
+        if not shapes:
+            assert len(tags) == 0
+            continue
+        e = field.scores(field.features([shapes])[0])[0]
+        allowed = lambda p: not pii.TAGS[p[0]].startswith("I") and all(pii._ALLOWED[a, b] for a, b in zip(p, p[1:]))
+        total = lambda p: sum(e[t, k] for t, k in enumerate(p)) + sum(field.move[a, b] for a, b in zip(p, p[1:]))
+        best = max(filter(allowed, product(range(len(pii.TAGS)), repeat=len(shapes))), key=total)
+        assert allowed(tags.tolist()) and abs(total(tags.tolist()) - total(best)) < 1e-9
+
+
+def test_stages_on_odd_rows(spark, docs, empty, sf_dir):
+    """Every stage takes nulls, empty and long texts, repeated rows, clashing columns and empty tables."""
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        rows = out.collect()
+        assert stage(spark, empty, sf_dir).count() == 0, name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            # n_chars may join the columns of a table that lacks it
+            assert set(docs.columns) <= set(out.columns), name
+            assert {r.doc_id for r in rows} <= {r.doc_id for r in docs.collect()}
