@@ -124,11 +124,11 @@ def levels(cells: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(np.maximum(cells / usual, 1))).astype(np.uint8)
 
 
-BASE = "doc_id long, row long, n_shingles long, id long, more long, prefix array<long>"
+BASE = "doc_id long, row long, n_shingles long, id long, prefix array<long>"
 
 
 def prefixes(docs: DataFrame, n: int, percent: int, level: np.ndarray) -> DataFrame:
-    """Of every document: the size of its set, two hashes of it (``id`` names its class), and the prefix in the order.
+    """Of every document: the size of its set, a hash of it (``id`` names its class), and the prefix in the order.
 
     ``row`` is a hash of the text: it tells rows with the same doc_id apart.
     """
@@ -139,15 +139,14 @@ def prefixes(docs: DataFrame, n: int, percent: int, level: np.ndarray) -> DataFr
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in slices(texts, map(len, texts), SLICE_CHARS):
-                sizes, ids, more, prefix = [], [], [], []
+                sizes, ids, prefix = [], [], []
                 for s in shingles(texts[a:b], n):
                     m = len(s)
                     sizes.append(m)
                     ids.append(_signed(s.sum(dtype=np.uint64)))
-                    more.append(_signed(np.bitwise_xor.reduce(_mix(s ^ _MIX)) if m else 0))
                     own = level[s >> np.uint64(64 - CELL_BITS)]
                     prefix.append(s[np.argsort(own, kind="stable")][: m - ceil(percent * m / 100) + 1 if m else 0].view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(more, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=[f.split()[0] for f in BASE.split(", ")])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=[f.split()[0] for f in BASE.split(", ")])
 
     text = F.coalesce("text", F.lit(""))
     return docs.select("doc_id", F.xxhash64(text).alias("row"), text.alias("text")).mapInArrow(run, BASE)
