@@ -57,6 +57,18 @@ class Engine:
         """SELECT text, by way of the specification: the same semantics and refusals hold."""
         return self.ask(sql_import.parse(text, self.catalog))
 
+    def warm_up(self, statements: list[str]) -> dict[str, str]:
+        """Keeps the statements (of a file or a query log) as pending templates; what each one became, or why it was refused."""
+        out = {}
+        for text in statements:
+            try:
+                q = sql_import.parse(text, self.catalog)
+                Compiler(self.frames, self.catalog, self.now, {}).compile(q)
+                out[text] = self.templates.insert(text, q).handle
+            except ValueError as error:  # a refusal
+                out[text] = f"refused: {error}"
+        return out
+
     def ask_template(self, handle: str, **values) -> Answer:
         return self.ask(self.templates.replay(handle, **values))
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.catalog import Catalog, ForeignKey
+from .results import select_statements
 
 #: JDBC drivers and URL patterns by engine.
 ENGINES = {
@@ -60,6 +61,20 @@ WHERE t.constraint_type = 'PRIMARY KEY'"""
 KEYS = {"mysql": (MYSQL_PRIMARY, MYSQL_KEYS), "mariadb": (MYSQL_PRIMARY, MYSQL_KEYS), "oracle": (ORACLE_PRIMARY, ORACLE_KEYS), "sqlite": (SQLITE_PRIMARY, SQLITE_KEYS)}
 
 
+#: Where engines keep the statements that ran last; ``{most}`` is how many. Embedded ones keep none.
+QUERY_LOGS = {
+    "databricks": "SELECT statement_text AS statement FROM system.query.history WHERE statement_type = 'SELECT' ORDER BY start_time DESC LIMIT {most}",
+    "mysql": "SELECT query_sample_text AS statement FROM performance_schema.events_statements_summary_by_digest WHERE schema_name = DATABASE() ORDER BY last_seen DESC LIMIT {most}",
+    "redshift": "SELECT query_text AS statement FROM sys_query_history WHERE query_type = 'SELECT' ORDER BY start_time DESC LIMIT {most}",
+    "sqlserver": "SELECT TOP {most} t.text AS statement FROM sys.dm_exec_query_stats s CROSS APPLY sys.dm_exec_sql_text(s.sql_handle) t ORDER BY s.last_execution_time DESC",
+    "oracle": "SELECT sql_fulltext AS statement FROM v$sql WHERE parsing_schema_name = USER ORDER BY last_active_time DESC FETCH FIRST {most} ROWS ONLY",
+    "snowflake": "SELECT query_text AS statement FROM TABLE(information_schema.query_history(result_limit => {most})) WHERE query_type = 'SELECT'",
+    "bigquery": "SELECT query AS statement FROM `region-us`.INFORMATION_SCHEMA.JOBS_BY_PROJECT WHERE statement_type = 'SELECT' ORDER BY creation_time DESC LIMIT {most}",
+    "postgresql": "SELECT query AS statement FROM pg_stat_statements ORDER BY calls DESC LIMIT {most}",
+}
+QUERY_LOGS["mariadb"], QUERY_LOGS["spark"] = QUERY_LOGS["mysql"].replace("query_sample_text", "digest_text"), QUERY_LOGS["databricks"]
+
+
 @dataclass
 class Database:
     """A JDBC source. Reads are split over ``partitions`` ranges of ``split_by``, and filters and columns are pushed down."""
@@ -106,9 +121,20 @@ class Database:
             edges.setdefault((r["name"], r["child"], r["parent"]), []).append((r["child_column"], r["parent_column"]))
         return {t: tuple(c) for t, c in primary.items()}, [ForeignKey(c, tuple(a for a, _ in on), p, tuple(b for _, b in on)) for (_, c, p), on in edges.items()]
 
-    def reflect(self, spark: SparkSession, names: list[str], sidecar: Catalog | None = None) -> tuple[dict[str, DataFrame], Catalog]:
-        """Frames and catalog; keys come from the database where it declares them, else from a saved catalog."""
-        frames = {n: self.table(spark, n) for n in names}
+    def query_log(self, spark: SparkSession, most: int = 500) -> list[str]:
+        """SELECT statements that the engine ran last, without repeats; none where it keeps no log (SQLite, DuckDB)."""
+        if self.engine not in QUERY_LOGS:
+            return []
+        sql = QUERY_LOGS[self.engine].format(most=int(most))
+        rows = (spark.sql(sql) if self.engine == "spark" else self.query(spark, sql)).collect()
+        return list(dict.fromkeys(s for r in rows for s in select_statements(r["statement"] or "")))
+
+    def reflect(self, spark: SparkSession, names: list[str], sidecar: Catalog | None = None, split_by: dict[str, str] | None = None) -> tuple[dict[str, DataFrame], Catalog]:
+        """Frames and catalog; keys come from the database where it declares them, else from a saved catalog.
+
+        ``split_by`` names the number or date column by which a large table is read in parallel.
+        """
+        frames = {n: self.table(spark, n, (split_by or {}).get(n, "")) for n in names}
         if sidecar is not None:
             primary, foreign = {n: t.primary_key for n, t in sidecar.tables.items() if n in frames}, [k for k in sidecar.foreign_keys if k.table in frames and k.parent in frames]
         else:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Iterator
 from itertools import islice
@@ -37,9 +38,13 @@ def arrow(df: DataFrame):
 
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    """CSV with a header, written by the executors; ``single`` collects a small result into one file."""
+    """CSV with a header, written by the executors; ``single`` streams the rows into one file of the driver."""
     if single:
-        df.toPandas().to_csv(path, index=False)
+        with open(path, "w", newline="") as file:
+            out = csv.writer(file)
+            out.writerow(df.columns)
+            for chunk in batches(df):
+                out.writerows(chunk)
     else:
         df.write.csv(path, header=True, mode="overwrite")
 
@@ -50,7 +55,11 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] = ()) -> Non
 
 def statements(path: str) -> list[str]:
     """SELECT statements of a SQL file or query history, without comments and repeats."""
-    text = re.sub(r"--[^\n]*|/\*.*?\*/", " ", Path(path).read_text(), flags=re.DOTALL)
+    return select_statements(Path(path).read_text())
+
+
+def select_statements(text: str) -> list[str]:
+    text = re.sub(r"--[^\n]*|/\*.*?\*/", " ", text, flags=re.DOTALL)
     found = (re.sub(r"\s+", " ", s).strip() for s in re.split(r";(?=(?:[^']*'[^']*')*[^']*$)", text))
     return list(dict.fromkeys(s for s in found if re.match(r"(?i)(select|with)\b", s)))
 

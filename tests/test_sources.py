@@ -44,6 +44,7 @@ def test_sheets(tmp_path, spark):
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
         z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>id</t></si><si><t>kind</t></si><si><t>film</t></si></sst>")
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {main}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row r="2"><c r="A2"><v>1</v></c><c r="B2" t="s"><v>2</v></c></row><row r="3"><c r="A3"><v>2</v></c></row></sheetData><mergeCells><mergeCell ref="B2:B3"/></mergeCells></worksheet>')
+    assert ("merged_cells", "Items:B2:B3") in {(i.kind, i.where) for i in ingest.inspect(str(path))["Items"]}
     df = ingest.ingest(spark, [str(path)])["items"]
     assert sorted(map(tuple, df.collect())) == [(1, "film"), (2, "film")]
 
@@ -155,3 +156,29 @@ def test_mysql_keys_name_their_parent():
 
     primary, foreign = Mocked("mysql", "d").keys(None)
     assert set(primary) == {"a", "b", "c"} and [(k.table, k.parent) for k in foreign] == [("b", "a")]
+
+
+def test_query_logs_and_warm_up(spark, sf_dir):
+    from tessera.engine import Engine
+    from tessera.sources.tables import open_tables
+
+    class Logged(databases.Database):
+        def query(self, spark, sql):
+            assert "{" not in sql and "500" in sql
+            return type("Rows", (), {"collect": lambda _: [{"statement": s} for s in ("SELECT r_name FROM region", "INSERT INTO x VALUES (1)", None, "SELECT r_name FROM region", "SELECT * FROM region")]})()
+
+    for engine in databases.QUERY_LOGS.keys() - {"spark"}:
+        assert Logged(engine, "d").query_log(spark) == ["SELECT r_name FROM region", "SELECT * FROM region"]
+    assert databases.Database("sqlite", "d").query_log(spark) == databases.Database("duckdb", "d").query_log(spark) == []
+    engine = Engine(spark, *open_tables(spark, sf_dir, ["region"]))
+    made = engine.warm_up(Logged("mysql", "d").query_log(spark))
+    handle = made["SELECT r_name FROM region"]
+    assert made["SELECT * FROM region"].startswith("refused") and engine.templates.templates[handle].trust == "pending"
+    engine.templates.promote(handle)
+    assert engine.ask_template(handle).frame.count() == 5
+
+
+def test_section_headings_name_their_tables(spark, tmp_path):
+    path = tmp_path / "book.csv"
+    path.write_text("Big cities,\n,\ncity,people\na,5\nb,6\n,\nRivers,\n,\nriver,length\nx,1\ny,2\n")
+    assert set(ingest.ingest(spark, [str(path)])) == {"book_big_cities", "book_rivers"}
