@@ -414,4 +414,4 @@ def description(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine(spark, frames, catalog).describe().groupBy("table_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-from . import queries_uploads  # noqa: E402, F401  registers its queries here
+from . import queries_shape, queries_uploads  # noqa: E402, F401  they register their queries here
