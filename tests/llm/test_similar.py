@@ -127,9 +127,9 @@ def test_line_dedup(docs, empty):
 
 
 def test_line_dedup_against_pure_edit_similarity(spark, duck, sf_dir):
-    """Recall of the lines that plain edit similarity of characters groups, over all pairs of lines of up to 600 characters."""
+    """Recall of the lines that plain edit similarity of characters groups, over all pairs of lines of up to 300 characters."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = [o for o in occurrences(docs.select("doc_id", "text").collect()) if len(o[3]) <= 600]
+    found = [o for o in occurrences(docs.select("doc_id", "text").collect()) if len(o[3]) <= 300]
     distinct = sorted({o[3] for o in found})
     duck.execute("CREATE OR REPLACE TEMP TABLE lines_ AS SELECT unnest(?) AS i, unnest(?) AS x", [list(range(len(distinct))), distinct])
     edges = duck.execute("SELECT a.i, b.i FROM lines_ a JOIN lines_ b ON a.i < b.i AND 5 * least(length(a.x), length(b.x)) >= 4 * greatest(length(a.x), length(b.x)) WHERE levenshtein(a.x, b.x) <= floor(0.2 * greatest(length(a.x), length(b.x)) + 1e-9)").fetchall()
