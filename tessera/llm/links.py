@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ._util import materialize, release
 
-#: Pieces that a long list's rows are dealt into, when rows of other components are looked for.
-SALT = 16
+#: A list's rows are dealt into pieces of so many, and into so many pieces at most, when rows of other components are looked for.
+PIECE, PIECES = 4096, 256
 
 
 def connected(edges: DataFrame, name: str = "component") -> DataFrame:
@@ -51,17 +51,17 @@ def stars(lists: DataFrame, admissible) -> DataFrame:
 def across(lists: DataFrame, component: DataFrame, admissible, name: str) -> DataFrame:
     """Admissible pairs (a, b) that share a list and lie in different components; lists within one component are dropped.
 
-    One side's rows are dealt into SALT pieces and the other side's are copied to each, so that a list takes SALT tasks.
+    One side's rows of a list of more than PIECE are dealt into pieces, and the other side's are copied to each, so that
+    it takes as many tasks.
     """
     labelled = lists.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high")
-    rest = materialize(labelled.join(mixed.select("key", (F.col("n") > 64).alias("long")), "key"), f"{name}-rest")
-    met = [rest.filter("NOT long").drop("long")] * 2
-    long = rest.filter("long").drop("long")
-    dealt = long.withColumn("salt", F.pmod("id", F.lit(SALT))), long.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
-    apart = F.col("l.component") < F.col("r.component")
-    short = met[0].alias("l").join(met[1].alias("r"), "key").filter(apart)
-    return pairs(short, admissible).unionByName(pairs(dealt[0].alias("l").join(dealt[1].alias("r"), ["key", "salt"]).filter(apart), admissible)).distinct()
+    pieces = F.least(F.ceil(F.col("n") / PIECE), F.lit(PIECES)).cast("long").alias("pieces")
+    rest = materialize(labelled.join(mixed.select("key", pieces), "key"), f"{name}-rest")
+    one = rest.withColumn("salt", F.pmod("id", F.col("pieces"))).drop("pieces")
+    other = rest.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).drop("pieces")
+    met = one.alias("l").join(other.alias("r"), ["key", "salt"]).filter(F.col("l.component") < F.col("r.component"))
+    return pairs(met, admissible)
 
 
 def linked(lists: DataFrame, admissible: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:

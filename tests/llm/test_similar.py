@@ -201,6 +201,7 @@ def test_lines_of_long_lists(spark, monkeypatch):
     rows = [re.sub(r" +", " ", x).strip() for x in rows]
     groups = closure(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(i) if near(rows[i], rows[j])])
     monkeypatch.setattr(line_dedup, "LONG", 4)
+    monkeypatch.setattr(links, "PIECE", 3)
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     decided = {x.doc_id: x for x in line_dedup.decisions(docs).collect()}
     assert {i: decided[i].kept_doc_ids[0] if decided[i].n_dropped else i for i in decided} == groups
