@@ -61,7 +61,9 @@ def across(lists: DataFrame, component: DataFrame, admissible, name: str) -> Dat
     one = rest.withColumn("salt", F.pmod("id", F.col("pieces"))).drop("pieces")
     other = rest.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).drop("pieces")
     met = one.alias("l").join(other.alias("r"), ["key", "salt"]).filter(F.col("l.component") < F.col("r.component"))
-    return pairs(met, admissible)
+    found = materialize(pairs(met, admissible), f"{name}-met")
+    release(rest)
+    return found
 
 
 def linked(lists: DataFrame, admissible: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
