@@ -181,6 +181,11 @@ def test_line_dedup_compares_characters_without_punctuation(spark):
     assert {i: decided[i].kept_doc_ids[0] if decided[i].n_dropped else i for i in decided} == groups
 
 
+def test_word_classes_count_all_lines(spark):
+    lines = spark.createDataFrame([(8 * k + 1, f"common w{k}") for k in range(64)], "id long, line string")
+    assert max(line_dedup.word_classes(lines)) >= 24
+
+
 def test_lines_of_repeated_rows(spark):
     line = " ".join(f"w{i}" for i in range(30))
     near = line.replace("w7 ", "v7 ")
