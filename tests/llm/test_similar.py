@@ -186,6 +186,31 @@ def test_word_classes_count_all_lines(spark):
     assert max(line_dedup.word_classes(lines)) >= 24
 
 
+def test_lines_of_two_long_words(spark):
+    one = "abcdefghijklmnopqrst uvwxyzabcdefghijk"
+    rows = [(1, one), (2, one.replace("c", "1")), (3, "0" * 40), (4, "0" * 20 + "x" + "0" * 19)]
+    decided = line_dedup.decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in decided if r.n_dropped) == [2, 4]
+
+
+def test_lines_of_the_same_words_in_other_orders_seldom_meet(spark):
+    import random
+
+    r = random.Random(5)
+    words = [f"word{i}" for i in range(60)]
+    lines = spark.createDataFrame([(k, " ".join(r.sample(words, 30)), 1) for k in range(100)], "id long, line string, copies int")
+    made = line_dedup.prefixes(lines, line_dedup.word_classes(lines), 0.8).collect()
+    keys = [set(x["keys"][: x.meets]) for x in made]
+    assert sum(bool(keys[i] & keys[j]) for i in range(100) for j in range(i)) < 0.2 * 4950
+
+
+def test_pairs_of_lines_in_shares(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARE", 3)
+    rows = [(2 * k + i, f"a{k} b{k} c{k} d{k} e{k} f{k} g{k} h{k} i{k} {'jx'[i]}{k}") for k in range(12) for i in range(2)]
+    decided = line_dedup.decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.kept_doc_ids[0] for r in decided if r.n_dropped} == {2 * k + 1: 2 * k for k in range(12)}
+
+
 def test_lines_of_repeated_rows(spark):
     line = " ".join(f"w{i}" for i in range(30))
     near = line.replace("w7 ", "v7 ")
