@@ -237,6 +237,34 @@ def test_lines_of_long_lists(spark, monkeypatch):
     assert {i: decided[i].kept_doc_ids[0] if decided[i].n_dropped else i for i in decided} == groups
 
 
+def test_lines_are_compared_before_pairs_are_written(spark, monkeypatch):
+    """Short lines with a few trigrams in common, and long ones with a pair of words, of which none is near another."""
+    import random
+
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    vocabulary, written, write = [word(6) for _ in range(300)], [], line_dedup.materialize
+
+    class Made(Exception):
+        pass
+
+    def counted(df, name):
+        if name in ("line-share", "near-lines"):
+            raise Made
+        out = write(df, name)
+        written.append(out.count() if name == "line-pairs" else 0)
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    monkeypatch.setattr(line_dedup, "LONG", 1)
+    monkeypatch.setattr(line_dedup, "PASSES", 1)
+    for lines in ([f"the {word(8)} {word(7)}" for _ in range(80)], [" ".join(r.sample(vocabulary, 100)) for _ in range(80)]):
+        written.clear()
+        with pytest.raises(Made):
+            line_dedup.groups(spark.createDataFrame([(k, x, 1) for k, x in enumerate(lines)], "id long, line string, copies int"))
+        assert sum(written) < 10
+
+
 def test_native_operators_use_no_python(docs, sf_dir, spark):
     for df in (line_dedup.decisions(docs), line_dedup.dedup(docs), spotsigs.edited(docs), spotsigs.near_duplicates(docs)):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
