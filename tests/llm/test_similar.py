@@ -265,6 +265,35 @@ def test_lines_are_compared_before_pairs_are_written(spark, monkeypatch):
         assert sum(written) < 10
 
 
+def test_pairs_of_long_lists_are_made_once(spark, monkeypatch):
+    """Two groups of near copies that share a passage, and so many long lists: a pair is made in one of them."""
+    import random
+
+    r = random.Random(13)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    passage, rest = [word(4) for _ in range(40)], [[word(14) for _ in range(10)] for _ in range(2)]
+    rows = [" ".join([*passage[:20], *rest[k % 2], *(word(14) for _ in range(2)), *passage[20:]]) for k in range(24)]
+    pairs, made = links.pairs, []
+
+    def counted(met, admissible):
+        # rows of the search between components have what those of stars lack
+        if "held" in met.columns:
+            made.append(met.filter(admissible("l", "r")).count())
+        return pairs(met, admissible)
+
+    monkeypatch.setattr(links, "pairs", counted)
+    monkeypatch.setattr(line_dedup, "LONG", 4)
+    found = line_dedup.groups(spark.createDataFrame([(k, x, 1) for k, x in enumerate(rows)], "id long, line string, copies int"))
+    assert {x.id: x.component for x in found.collect()} == {k: k % 2 for k in range(24)}
+    assert made and 0 < sum(made) <= 12 * 12
+
+
+def test_movable_words_allow_for_lengths(spark):
+    rows = [(10, 10, 8), (10, 8, 6), (50, 44, 18), (50, 50, 24)]
+    got = spark.createDataFrame(rows, "m int, n int, want int").select(line_dedup.movable(F.col("m"), F.col("n"), 0.8).alias("got"), "want")
+    assert all(x.got == x.want for x in got.collect())
+
+
 def test_native_operators_use_no_python(docs, sf_dir, spark):
     for df in (line_dedup.decisions(docs), line_dedup.dedup(docs), spotsigs.edited(docs), spotsigs.near_duplicates(docs)):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
